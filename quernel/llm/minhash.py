@@ -64,7 +64,7 @@ def superminhash(items: np.ndarray, bound: np.ndarray, slots: int) -> np.ndarray
         h, doc = items[bound[i] : bound[j]], np.repeat(np.arange(i, j), size[i:j])
         state = None
         for rank in range(slots):
-            z = C.mix(h + U64(rank + 1) * U64(0x9E3779B97F4A7C15))
+            z = C.mix(h + U64((rank + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
             slot = (rank + (((z & U64(0xFFFFFFFF)) * U64(slots - rank)) >> U64(32)).astype(np.int64)).astype(np.int64)
             if state is None:
                 target = slot

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .common import U64
@@ -78,18 +79,6 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     ])
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): whole texts' statistics; a null text counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, raw, off in C.text_chunks(batch.column(1)):
-                x = statistics(raw, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, x array<double>")
-
-
 @dataclass
 class Discriminant:
     """A fitted model; scores rows of statistics."""
@@ -144,24 +133,40 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.offset, -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample: int = 20_000, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs.
+def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample: int = 20_000) -> DataFrame:
+    """docs with a column quality_score (0 to 1).
 
     labels has (id_col, label_col); rows with a null in either, and those of the held-out fold (crc32 of the id's text
     modulo folds is held), are never learned from. Up to `sample` labelled rows, by hash of the id, fit the model.
     A null or empty text gets the score of its statistics, those of no text. Without labels the score is 1/2. Rows
-    may repeat; other columns of docs are not read. The text is read once; its statistics are stored for both uses.
+    may repeat; an empty table gives an empty result; a column quality_score that docs has is replaced.
     """
-    table = C.stored(document_statistics(docs, id_col, text_col), "statistics")
+    docs = docs.drop("quality_score")
     seen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").where(C.fold("doc_id", folds) != held)
-    seen = seen.join(table, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("x", "y").toPandas()
-    model = Discriminant.fit(np.stack(seen["x"].to_numpy()) if len(seen) else np.zeros((0, len(STATISTICS))), seen["y"].to_numpy())
+    seen = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)  # so its broadcast is bounded
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(seen), "doc_id").select("y", "text")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, off in C.text_chunks(batch.column(1)):
+                x = statistics(raw, off)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
+
+    fitted = texts.mapInArrow(listed, "y int, x array<double>").toPandas()
+    model = Discriminant.fit(np.stack(fitted["x"].to_numpy()) if len(fitted) else np.zeros((0, len(STATISTICS))), fitted["y"].to_numpy())
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
+            for i, j, raw, off in C.text_chunks(batch.column(at)):
+                s = np.full(j - i, model) if isinstance(model, float) else model.score(statistics(raw, off))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(s)], [*batch.schema.names, "quality_score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+
 
-    out = table.mapInArrow(run, f"doc_id {dict(table.dtypes)['doc_id']}, score double")
-    return out.select("doc_id", F.coalesce(C.fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held: int = 2, threshold: float = 0.7, **more: object) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs; see with_quality. Other columns of docs are not read."""
+    out = with_quality(docs.select(id_col, text_col), labels, id_col, text_col, folds=folds, held=held, **more)
+    score = F.col("quality_score")
+    return out.select(F.col(id_col).alias("doc_id"), F.coalesce(C.fold(id_col, folds) == held, F.lit(False)).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))

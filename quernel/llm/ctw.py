@@ -8,7 +8,7 @@ the empty context down to the longest one that training saw. Texts are A-Z lower
 
 Training counts all (depth + 1)-grams of all training texts, in each task first, then by a shuffle that grows with the
 input. What is broadcast is the finished model: contexts are hashed into at most 2^slot_bits places per depth,
-whatever the size of the corpus (3 bytes a place), and a bounded table of the commonest words for the base score.
+whatever the size of the corpus (4 bytes a place), and a bounded table of the commonest words for the base score.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -55,13 +55,24 @@ def grams(raw: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.
     return code[at], doc
 
 
-def places(code: np.ndarray, d: int, slot_bits: int) -> np.ndarray:
-    """For each gram and each of its eight choices, the place of its node in the table of context length d."""
+def node_places(key: np.ndarray, d: int, slot_bits: int) -> np.ndarray:
+    """The places of nodes (context bytes and choice node, packed) in the table of context length d >= 2."""
+    return (C.mix(key + U64(d * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(64 - slot_bits)).astype(np.int64)
+
+
+def checks(key: np.ndarray) -> np.ndarray:
+    """A byte that tells most other nodes with the same place apart."""
+    return ((key * U64(0xD6E8FEB86659FD93)) >> U64(40) & U64(255)).astype(np.int64)
+
+
+def places(code: np.ndarray, d: int, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each gram and each of its eight choices, the place of its node in the table of context length d, and the check byte."""
     symbol = (code & U64(255)).astype(np.int64)
     node = (256 | symbol[:, None]) >> (_BITS + 1)[None]
     context = (code >> U64(8)) & U64((1 << (8 * d)) - 1)
-    key = context[:, None] * U64(256) + node.astype(U64)
-    return key.astype(np.int64) if d < 2 else (C.mix(key + U64(d * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(64 - slot_bits)).astype(np.int64)
+    key = (context[:, None] << U64(8)) | node.astype(U64)
+    key = key.reshape(-1)
+    return (key.astype(np.int64) if d < 2 else node_places(key, d, slot_bits)), checks(key)
 
 
 def table_size(d: int, slot_bits: int) -> int:
@@ -131,71 +142,121 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """Natural log of the gamma function for x >= 1/2, by Stirling's series after seven steps up."""
-    down = F.lit(1.0)
+    down = np.ones_like(x)
     for k in range(7):
         down = down * (x + k)
     y = x + 7
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(down)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(down)
+
+
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    a, b = a.astype(float), b.astype(float)
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
+
+
+def _grouped(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the place of each row's key among them, and sums by key."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    back = np.empty(len(key), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    return key[order][first], back, *(np.add.reduceat(s[order], first) for s in sums)
+
+
+def _packed(d: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of nodes: the log of the count (which wins a place), a check byte, the estimate in 1/65536, the stopping weight in 1/255."""
+    n = a + b
+    estimate = np.clip(np.round((b + 0.5) / (n + 1) * 65536), 1, 65535).astype(np.int64)
+    place = key.astype(np.int64) if d < 2 else node_places(key, d, slot_bits)
+    return place, np.minimum(np.log2(n) * 3, 126).astype(np.int64) << 32 | checks(key) << 24 | estimate << 8 | np.round(stop * 255).astype(np.int64)
+
+
+def _weigh(kt: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted log probability of nodes, and the posterior weight of stopping there."""
+    pw = np.logaddexp(kt, longer) + math.log(0.5)
+    return pw, np.exp(math.log(0.5) + kt - pw)
 
 
 def context_tree(gram_counts: DataFrame, depth: int, slot_bits: int) -> DataFrame:
-    """(d, place, estimate, stop): predictive estimate of a 1 and stopping weight of every context that was seen."""
+    """(d, place, value): the packed nodes of all contexts, and for d = -1 the sums that contexts of one byte are made of.
+
+    Grams meet by the two bytes next to the coded one, so that a task builds all longer contexts by itself, from the longest
+    down; it passes on a few sums for each two-byte context. A node seen once has nothing longer: its longer contexts
+    would repeat it. Of nodes that share a place, the one with the largest count stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 50_000):
-                part = batch.slice(i, 50_000)
-                code = part.column(0).to_numpy().view(U64)
-                count = np.repeat(part.column(1).to_numpy(), 8)
-                bit = choices(code).reshape(-1)
-                above = None
-                for d in range(depth + 1):
-                    place = places(code, d, slot_bits).reshape(-1)
-                    above = place if above is None else above
-                    order = np.argsort(place, kind="stable")
-                    first = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1])))
-                    ones, alls = np.add.reduceat((count * bit)[order], first), np.add.reduceat(count[order], first)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), pa.array(place[order][first]), pa.array(np.minimum.reduceat(above[order], first)), pa.array(alls - ones), pa.array(ones)], ["d", "place", "above", "a", "b"])
-                    above = place
-
-    nodes = gram_counts.mapInArrow(run, "d int, place long, above long, a long, b long").groupBy("d", "place").agg(F.min("above").alias("above"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    kt = log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
-    nodes = C.stored(nodes.select("d", "place", "above", ((b + 0.5) / (a + b + 1)).alias("estimate"), kt.alias("kt")), "contexts")
-    level = nodes.where(F.col("d") == depth).select("d", "place", "above", "estimate", F.col("kt").alias("pw"), F.lit(1.0).alias("stop"))
-    out = [level]
-    for d in range(depth - 1, -1, -1):
-        longer = level.groupBy(F.col("above").alias("place")).agg(F.sum("pw").alias("longer"))
-        own = nodes.where(F.col("d") == d).join(longer, "place", "left")
-        rest = F.coalesce("longer", "kt")
-        high = F.greatest("kt", rest)
-        pw = high + F.log(0.5 * F.exp(F.col("kt") - high) + 0.5 * F.exp(rest - high))
-        level = C.stored(own.select("d", "place", "above", "estimate", pw.alias("pw"), (0.5 * F.exp(F.col("kt") - pw)).alias("stop")), "weights")
-        out.append(level)
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.union(x)
-    return whole.select("d", "place", "estimate", "stop")
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        code = np.concatenate([b.column(0).to_numpy() for b in got]).view(U64)
+        count = np.concatenate([b.column(1).to_numpy() for b in got])
+        near = (code >> U64(8)) & U64(0xFFFF)
+        order = np.argsort(near, kind="stable")
+        code, count, near = code[order], count[order], near[order]
+        cuts = np.concatenate(([0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(near)]))
+        i = 0
+        while i + 1 < len(cuts):  # whole two-byte contexts, about 100,000 grams at once
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + 100_000, side="right")) - 1)
+            c, n = code[cuts[i] : cuts[j]], count[cuts[i] : cuts[j]]
+            i = j
+            symbol = (c & U64(255)).astype(np.int64)
+            node = ((256 | symbol[:, None]) >> (_BITS + 1)[None]).astype(U64)
+            key = (((c >> U64(8)) << U64(8))[:, None] | node).reshape(-1)
+            n, bit = np.repeat(n, 8), choices(c).reshape(-1)
+            key, _, a, b = _grouped(key, n * (1 - bit), n * bit)
+            pw = log_kt(a, b)
+            stop = np.ones(len(key))
+            for d in range(depth, 1, -1):
+                up = key & U64((1 << (8 * d)) - 1)  # the context without its farthest byte
+                above, back, a2, b2, longer = _grouped(up, a, b, pw)
+                many = (a2 + b2)[back] > 1
+                place, value = _packed(d, key[many], a[many], b[many], stop[many], slot_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), d, np.int32)), pa.array(place), pa.array(value), pa.array(np.zeros(len(place)))], ["d", "place", "value", "pw"])
+                if d > 2:
+                    key, a, b = above, a2, b2
+                    pw, stop = _weigh(log_kt(a, b), longer)
+            # above: one-byte contexts' nodes, whose parts lie in several tasks
+            parts = [np.full(len(above), k, np.int32) for k in (-1, -2)]
+            for part, sums in zip(parts, (a2, b2), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(above.astype(np.int64)), pa.array(sums), pa.array(longer)], ["d", "place", "value", "pw"])
+
+    near = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    parts = int(gram_counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return gram_counts.repartition(parts, near).mapInArrow(run, "d int, place long, value long, pw double")
 
 
 class Tables:
-    """The model as arrays: estimates in 1/65536 (0: unseen), stopping weights in 1/255."""
+    """The model as arrays: estimates in 1/65536 (0: unseen), stopping weights in 1/255, check bytes."""
 
-    def __init__(self, depth: int, slot_bits: int, arrays: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, depth: int, slot_bits: int, arrays: list[tuple[np.ndarray, ...]]) -> None:
         self.depth, self.slot_bits, self.arrays = depth, slot_bits, arrays
         self.known = [(np.zeros(0, U64), np.zeros(0, np.float32))] * 2  # a large and a small sorted run of scored grams
 
     @classmethod
     def gather(cls, tree: DataFrame, depth: int, slot_bits: int) -> Tables:
-        arrays = [(np.zeros(n := table_size(d, slot_bits), np.uint16), np.zeros(n, np.uint8)) for d in range(depth + 1)]
-        small = tree.select(F.col("d").cast("byte").alias("d"), F.col("place").cast("int").alias("place"), F.greatest(F.lit(1), F.least(F.lit(65535), F.round(F.col("estimate") * 65536))).cast("int").alias("e"), F.round(F.col("stop") * 255).cast("short").alias("s"))
-        for batch in small.toArrow().to_batches():
-            d, place, e, s = (c.to_numpy() for c in batch.columns)
-            for k in range(depth + 1):
-                own = d == k
-                arrays[k][0][place[own]], arrays[k][1][place[own]] = e[own], s[own]
+        """Brings the tree's places, bounded by the tables' size, and the sums of one-byte contexts to the driver."""
+        arrays = [(np.zeros(n := table_size(d, slot_bits), np.uint16), np.zeros(n, np.uint8), np.zeros(n, np.uint8)) for d in range(depth + 1)]
+
+        def put(d: int, place: np.ndarray, value: np.ndarray) -> None:
+            arrays[d][0][place], arrays[d][1][place], arrays[d][2][place] = value >> 8 & 0xFFFF, value & 255, value >> 24 & 255
+
+        best = tree.where("d >= 0").groupBy("d", F.col("place").cast("int").alias("place")).agg(F.max("value").alias("value"))
+        for batch in best.toArrow().to_batches():
+            d, place, value = (c.to_numpy() for c in batch.columns)
+            for k in range(2, depth + 1):
+                put(k, place[d == k], value[d == k])
+        sums = tree.where("d < 0").groupBy("place", "d").agg(F.sum("value").alias("value"), F.sum("pw").alias("pw")).toPandas().sort_values("place")
+        zeros, ones = sums[sums["d"] == -1], sums[sums["d"] == -2]
+        key, a, b, longer = zeros["place"].to_numpy(np.int64).astype(U64), zeros["value"].to_numpy(np.int64), ones["value"].to_numpy(np.int64), zeros["pw"].to_numpy(float)
+        for d in (1, 0):
+            if len(key):
+                pw, stop = _weigh(log_kt(a, b), longer)
+                put(d, *_packed(d, key, a, b, stop, slot_bits))
+                key, _, a, b, longer = _grouped(key & U64(255), a, b, pw)
         return cls(depth, slot_bits, arrays)
 
     def remembered(self, code: np.ndarray) -> np.ndarray:
@@ -227,9 +288,9 @@ class Tables:
         left, mixed = np.ones(len(bit)), np.zeros(len(bit))
         last, live = np.full(len(bit), 0.5), np.ones(len(bit), bool)
         for d in range(self.depth + 1):
-            place = places(code, d, self.slot_bits).reshape(-1)
+            place, check = places(code, d, self.slot_bits)
             e = self.arrays[d][0][place]
-            live &= e > 0
+            live &= (e > 0) & (self.arrays[d][2][place] == check)
             p = e / 65536.0
             w = np.where(live, self.arrays[d][1][place] / 255.0, 0.0)
             mixed += left * w * p
@@ -256,20 +317,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     total, distinct = known[1] + ends, known[0] + (ends > 0)
     floor = total + alpha * (distinct + 1)
-    model = Tables.gather(context_tree(counts.where("kind = 0").select("key", "c"), depth, slot_bits), depth, slot_bits)
+    tree = C.stored(context_tree(counts.where("kind = 0").select("key", "c"), depth, slot_bits), "contexts")
+    model = Tables.gather(tree, depth, slot_bits)
     hot = words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toPandas()
     hot_keys = hot["word"].to_numpy(np.int64).view(U64)
     order = np.argsort(hot_keys)
     hot_keys, hot_counts = hot_keys[order], hot["c"].to_numpy(np.int64)[order]
     mark = uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast((mark, model.depth, model.slot_bits, [(a.tobytes(), b.tobytes()) for a, b in model.arrays], hot_keys.tobytes(), hot_counts.tobytes()))
+    sent = docs.sparkSession.sparkContext.broadcast((mark, model.depth, model.slot_bits, [tuple(a.tobytes() for a in x) for x in model.arrays], hot_keys.tobytes(), hot_counts.tobytes()))
     end_log = math.log10((ends + alpha) / floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, d, bits, arrays, keys, values = sent.value
         if mark not in _tables:  # one model per worker
             _tables.clear()
-            _tables[mark] = Tables(d, bits, [(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint8)) for a, b in arrays])
+            _tables[mark] = Tables(d, bits, [(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint8), np.frombuffer(c, np.uint8)) for a, b, c in arrays])
         tables = _tables[mark]
         keys, logs = np.frombuffer(keys, U64), np.log10((np.frombuffer(values, np.int64) + alpha) / floor)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33

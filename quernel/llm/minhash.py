@@ -5,10 +5,11 @@ A text's set holds its distinct word shingles (words: runs without ASCII white s
 1. Every text gets its set's size, a 128-bit order-free digest of the set, and band keys of its SuperMinHash
    signature. Texts with equal digests form a class, whose representative is its smallest id; only
    representatives go on, so a group of exact copies costs one row however large it is.
-2. In each band bucket every member is paired with the smallest id (a star, linear in the bucket) and the pair is
-   verified on full sets. Verified links give first components.
+2. In each band bucket every member is paired with one leader (a star, linear in the bucket) and the pair is
+   verified on full sets. Each bucket draws its leader by its own hash, so that a member of a large group meets many
+   different leaders. Verified links give first components.
 3. In buckets whose members still lie in several components, the pairs across components that weren't tried are
-   verified too. Together the steps find every component that verification of all pairs in all buckets would.
+   verified inside a join by bucket, which puts out links only. Together the steps find every component that verification of all pairs in all buckets would.
 
 Two sets with similarity s share a bucket with probability 1 - (1 - s^rows)^bands: 0.999997 at 0.8.
 """
@@ -126,13 +127,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = C.stored(signatures(docs, id_col, text_col, width, bands, rows), "sigs")
     classes = C.stored(sigs.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     posted = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = C.stored(posted.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"), "buckets")
+    buckets = C.stored(posted.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("leader"), F.count("*").alias("members")).where("members > 1"), "buckets")
     members = C.stored(posted.join(buckets, "key"), "members")
     ids = C.stored(members.select("rep").distinct(), "ids")
     n_ids = ids.count()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = C.stored(shingle_sets(texts.join(C.small(ids, n_ids), texts["id"] == ids["rep"], "left_semi"), width), "sets")
-    wide = F.col("x") < F.col("y")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose full sets are similar enough."""
@@ -142,17 +142,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = F.size(F.array_intersect("of_x", "of_y"))
         return pairs.join(one, "y").join(two, "x").where(100 * both >= percent * (F.size("of_x") + F.size("of_y") - both)).select("x", "y").distinct()
 
-    stars = members.where("rep <> leader").select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct()
+    stars = members.where("rep <> leader").select(F.least("leader", "rep").alias("x"), F.greatest("leader", "rep").alias("y")).distinct()
     links = C.stored(verified(stars), "links")
     comps = C.stored(C.components(links), "comps")
     # pairs across components, in buckets that still hold several
     placed = members.where("members > 2").join(comps, members["rep"] == comps["node"], "left").select("key", "leader", "rep", "n", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    placed = C.stored(placed.join(split, "key", "left_semi"), "placed")
-    left, right = (placed.where("rep <> leader").select("key", F.col("rep").alias(r), F.col("n").alias(f"n_{r}"), F.col("c").alias(f"c_{r}")) for r in "xy")
+    placed = placed.where("rep <> leader").join(split, "key", "left_semi").join(sets, F.col("rep") == sets["id"]).select("key", "rep", "n", "c", "items")
+    placed = C.stored(placed, "placed")
+    # compared inside the join, bucket by bucket: only links come out of it, and a skewed bucket can be split
+    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "c", "items")]) for side in "xy")
     fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    across = left.join(right, "key").where(wide & (F.col("c_x") != F.col("c_y")) & fits).select("x", "y").distinct()
-    more = C.stored(verified(across), "links")
+    both = F.size(F.array_intersect("items_x", "items_y"))
+    alike = 100 * both >= percent * (F.col("n_x") + F.col("n_y") - both)
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("c_x") != F.col("c_y")) & fits & alike)
+    more = C.stored(across.select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct(), "links")
     if not more.isEmpty():
         comps = C.stored(C.components(links.union(more)), "comps")
     of_class = C.stored(classes.join(comps, classes["rep"] == comps["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "labels")

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _V = "aeiouy"
 #: Fixed values of the algorithm.
@@ -93,7 +94,7 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_words(words: pd.Series) -> pd.Series:
     """For a column of distinct words; join the result back."""
     return words.map(stem)

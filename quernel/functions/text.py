@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: Unicode White_Space, for trimming as Rust-style trim_end does.
-SPACE = r"[\x09-\x0D\x20\x85\xA0  -     　]"
+#: Fixed value: Unicode White_Space, for trimming.
+SPACE = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Tokens of at least so many bytes are dropped after stemming.
 LONG_TOKEN = 40
 

@@ -37,7 +37,7 @@ def spans(text: str | None, size: int = 1500, overlap: int = 200) -> Iterator[tu
         e = max(s + 1, bisect_right(at, at[s] + size) - 1)
         content = _BLANK_END.sub("", "\n".join(lines[s:e]))
         if content:
-            yield content, at[s], min(at[e], whole) if e < n else whole if text.endswith("\n") else at[e] - 1, s
+            yield content, at[s], min(at[e], whole), s
         if e >= n:
             return
         back = bisect_left(at, at[e] - overlap)

@@ -18,7 +18,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +31,11 @@ from .common import U64
 #: The end mark and the bytes before a text; it stands in no UTF-8 text.
 EDGE = 0xFF
 #: Distinct grams and words that a task gathers before it passes them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Commonest words that are broadcast; the others meet their counts in a join.
-HOT_WORDS = 1 << 16
+HOT_WORDS = 1 << 19
 #: Grams whose probability a worker remembers (12 bytes each); the store starts anew when full.
-REMEMBERED = 5_000_000
+REMEMBERED = 3_000_000
 
 _tables: dict[str, "Tables"] = {}
 
@@ -184,8 +186,8 @@ def context_tree(gram_counts: DataFrame, depth: int, slot_bits: int) -> DataFram
     """(d, place, value): the packed nodes of all contexts, and for d = -1 the sums that contexts of one byte are made of.
 
     Grams meet by the two bytes next to the coded one, so that a task builds all longer contexts by itself, from the longest
-    down; it passes on a few sums for each two-byte context. A node seen once has nothing longer: its longer contexts
-    would repeat it. Of nodes that share a place, the one with the largest count stays.
+    down; it passes on a few sums for each two-byte context. Nodes seen once weigh in the mixing, but aren't passed on: scoring stops at
+    the next shorter context there. Of nodes that share a place, the one with the largest count stays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +215,7 @@ def context_tree(gram_counts: DataFrame, depth: int, slot_bits: int) -> DataFram
             for d in range(depth, 1, -1):
                 up = key & U64((1 << (8 * d)) - 1)  # the context without its farthest byte
                 above, back, a2, b2, longer = _grouped(up, a, b, pw)
-                many = (a2 + b2)[back] > 1
+                many = a + b > 1
                 place, value = _packed(d, key[many], a[many], b[many], stop[many], slot_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), d, np.int32)), pa.array(place), pa.array(value), pa.array(np.zeros(len(place)))], ["d", "place", "value", "pw"])
                 if d > 2:
@@ -244,12 +246,16 @@ class Tables:
         def put(d: int, place: np.ndarray, value: np.ndarray) -> None:
             arrays[d][0][place], arrays[d][1][place], arrays[d][2][place] = value >> 8 & 0xFFFF, value & 255, value >> 24 & 255
 
-        best = tree.where("d >= 0").groupBy("d", F.col("place").cast("int").alias("place")).agg(F.max("value").alias("value"))
-        for batch in best.toArrow().to_batches():
-            d, place, value = (c.to_numpy() for c in batch.columns)
+        # one aggregation for both: the best node of each place, and the sums of one-byte contexts' nodes
+        found = tree.groupBy("d", "place").agg(F.max("value").alias("best"), F.sum("value").alias("value"), F.sum("pw").alias("pw"))
+        found = found.select(F.col("d").cast("byte").alias("d"), F.col("place").cast("int").alias("place"), F.when(F.col("d") < 0, F.col("value")).otherwise(F.col("best")).alias("value"), F.when(F.col("d") < 0, F.col("pw")).alias("pw"))
+        sums = []
+        for batch in found.toArrow().to_batches():
+            d, place, value = (batch.column(c).to_numpy() for c in range(3))
             for k in range(2, depth + 1):
                 put(k, place[d == k], value[d == k])
-        sums = tree.where("d < 0").groupBy("place", "d").agg(F.sum("value").alias("value"), F.sum("pw").alias("pw")).toPandas().sort_values("place")
+            sums.append(batch.filter(pc.less(batch.column(0), 0)).to_pandas())
+        sums = pd.concat(sums).sort_values("place") if sums else pd.DataFrame({c: [] for c in ("d", "place", "value", "pw")})
         zeros, ones = sums[sums["d"] == -1], sums[sums["d"] == -2]
         key, a, b, longer = zeros["place"].to_numpy(np.int64).astype(U64), zeros["value"].to_numpy(np.int64), ones["value"].to_numpy(np.int64), zeros["pw"].to_numpy(float)
         for d in (1, 0):
@@ -317,7 +323,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     total, distinct = known[1] + ends, known[0] + (ends > 0)
     floor = total + alpha * (distinct + 1)
-    tree = C.stored(context_tree(counts.where("kind = 0").select("key", "c"), depth, slot_bits), "contexts")
+    tree = context_tree(counts.where("kind = 0").select("key", "c"), depth, slot_bits)
     model = Tables.gather(tree, depth, slot_bits)
     hot = words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toPandas()
     hot_keys = hot["word"].to_numpy(np.int64).view(U64)
@@ -353,9 +359,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 row += n
 
     rows = C.stored(texts.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, bytes long, cold array<long>"), "scored")
-    rare = rows.select("row", F.explode("cold").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    rare = rows.select("row", F.explode("cold").alias("word"))
     rare = rare.join(words, "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more_known"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + alpha) / F.lit(float(floor)))).alias("more_base"))
+    rare = rare.groupBy("row").agg(F.count("c").alias("more_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + alpha) / F.lit(float(floor)))).alias("more_base"))
     out = rows.drop("cold").join(rare, "row", "left")
     zero = F.lit(0)
     return out.select(

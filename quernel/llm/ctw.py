@@ -39,6 +39,9 @@ REMEMBERED = 3_000_000
 
 _tables: dict[str, "Tables"] = {}
 
+#: Fractions of a natural log in which sums of logs pass through a shuffle.
+FIXED = 1000
+
 _BITS = np.arange(7, -1, -1)
 
 
@@ -217,18 +220,17 @@ def context_tree(gram_counts: DataFrame, depth: int, slot_bits: int) -> DataFram
                 above, back, a2, b2, longer = _grouped(up, a, b, pw)
                 many = a + b > 1
                 place, value = _packed(d, key[many], a[many], b[many], stop[many], slot_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), d, np.int32)), pa.array(place), pa.array(value), pa.array(np.zeros(len(place)))], ["d", "place", "value", "pw"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), d, np.int32)), pa.array(place), pa.array(value)], ["d", "place", "value"])
                 if d > 2:
                     key, a, b = above, a2, b2
                     pw, stop = _weigh(log_kt(a, b), longer)
             # above: one-byte contexts' nodes, whose parts lie in several tasks
-            parts = [np.full(len(above), k, np.int32) for k in (-1, -2)]
-            for part, sums in zip(parts, (a2, b2), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(above.astype(np.int64)), pa.array(sums), pa.array(longer)], ["d", "place", "value", "pw"])
+            for k, sums in ((-1, a2), (-2, b2), (-3, np.round(longer * FIXED).astype(np.int64))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(above), k, np.int32)), pa.array(above.astype(np.int64)), pa.array(sums)], ["d", "place", "value"])
 
     near = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     parts = int(gram_counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return gram_counts.repartition(parts, near).mapInArrow(run, "d int, place long, value long, pw double")
+    return gram_counts.repartition(parts, near).mapInArrow(run, "d int, place long, value long")
 
 
 class Tables:
@@ -240,24 +242,24 @@ class Tables:
 
     @classmethod
     def gather(cls, tree: DataFrame, depth: int, slot_bits: int) -> Tables:
-        """Brings the tree's places, bounded by the tables' size, and the sums of one-byte contexts to the driver."""
+        """Brings the tree's places, at most as many as the tables hold, and the sums of one-byte contexts to the driver."""
         arrays = [(np.zeros(n := table_size(d, slot_bits), np.uint16), np.zeros(n, np.uint8), np.zeros(n, np.uint8)) for d in range(depth + 1)]
 
         def put(d: int, place: np.ndarray, value: np.ndarray) -> None:
             arrays[d][0][place], arrays[d][1][place], arrays[d][2][place] = value >> 8 & 0xFFFF, value & 255, value >> 24 & 255
 
         # one aggregation for both: the best node of each place, and the sums of one-byte contexts' nodes
-        found = tree.groupBy("d", "place").agg(F.max("value").alias("best"), F.sum("value").alias("value"), F.sum("pw").alias("pw"))
-        found = found.select(F.col("d").cast("byte").alias("d"), F.col("place").cast("int").alias("place"), F.when(F.col("d") < 0, F.col("value")).otherwise(F.col("best")).alias("value"), F.when(F.col("d") < 0, F.col("pw")).alias("pw"))
+        found = tree.groupBy("d", "place").agg(F.max("value").alias("best"), F.sum("value").alias("value"))
+        found = found.select(F.col("d").cast("byte").alias("d"), F.col("place").cast("int").alias("place"), F.when(F.col("d") < 0, F.col("value")).otherwise(F.col("best")).alias("value"))
         sums = []
         for batch in found.toArrow().to_batches():
             d, place, value = (batch.column(c).to_numpy() for c in range(3))
             for k in range(2, depth + 1):
                 put(k, place[d == k], value[d == k])
             sums.append(batch.filter(pc.less(batch.column(0), 0)).to_pandas())
-        sums = pd.concat(sums).sort_values("place") if sums else pd.DataFrame({c: [] for c in ("d", "place", "value", "pw")})
-        zeros, ones = sums[sums["d"] == -1], sums[sums["d"] == -2]
-        key, a, b, longer = zeros["place"].to_numpy(np.int64).astype(U64), zeros["value"].to_numpy(np.int64), ones["value"].to_numpy(np.int64), zeros["pw"].to_numpy(float)
+        sums = pd.concat(sums).sort_values("place") if sums else pd.DataFrame({c: [] for c in ("d", "place", "value")})
+        zeros, ones, logs = (sums["value"][sums["d"] == -k].to_numpy(np.int64) for k in (1, 2, 3))
+        key, a, b, longer = sums["place"][sums["d"] == -1].to_numpy(np.int64).astype(U64), zeros, ones, logs / FIXED
         for d in (1, 0):
             if len(key):
                 pw, stop = _weigh(log_kt(a, b), longer)
@@ -306,7 +308,7 @@ class Tables:
         return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 6, slot_bits: int = 22, alpha: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 5, slot_bits: int = 21, alpha: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Rows whose id's crc32 modulo folds is held (and rows without an id) are scored only; all others are learned from too. score is the

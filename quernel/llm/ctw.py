@@ -33,7 +33,7 @@ EDGE = 0xFF
 #: Distinct grams and words that a task gathers before it passes them on.
 GATHERED = 1_000_000
 #: Commonest words that are broadcast; the others meet their counts in a join.
-HOT_WORDS = 1 << 19
+HOT_WORDS = 1 << 16
 #: Grams whose probability a worker remembers (12 bytes each); the store starts anew when full.
 REMEMBERED = 3_000_000
 
@@ -308,7 +308,7 @@ class Tables:
         return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 5, slot_bits: int = 21, alpha: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 6, slot_bits: int = 21, alpha: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Rows whose id's crc32 modulo folds is held (and rows without an id) are scored only; all others are learned from too. score is the

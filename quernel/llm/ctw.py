@@ -35,7 +35,7 @@ GATHERED = 1_000_000
 #: Commonest words that are broadcast; the others meet their counts in a join.
 HOT_WORDS = 1 << 16
 #: Grams whose probability a worker remembers (12 bytes each); the store starts anew when full.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_500_000
 
 _tables: dict[str, "Tables"] = {}
 
@@ -277,7 +277,7 @@ class Tables:
                 out[hit], new = values[place[hit]], new & ~hit
         fresh = code[new]
         if len(fresh):
-            out[new] = np.concatenate([self.log10(fresh[k : k + 100_000]) for k in range(0, len(fresh), 100_000)])
+            out[new] = np.concatenate([self.log10(fresh[k : k + 50_000]) for k in range(0, len(fresh), 50_000)])
             large, small = self.known
             small = self._union(small, (fresh, out[new].astype(np.float32)))
             if 4 * len(small[0]) > len(large[0]):
@@ -308,7 +308,7 @@ class Tables:
         return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 6, slot_bits: int = 21, alpha: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 5, slot_bits: int = 21, alpha: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Rows whose id's crc32 modulo folds is held (and rows without an id) are scored only; all others are learned from too. score is the
@@ -344,7 +344,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys, logs = np.frombuffer(keys, U64), np.log10((np.frombuffer(values, np.int64) + alpha) / floor)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
-            for i, j, raw, off in C.text_chunks(batch.column(1)):
+            for i, j, raw, off in C.text_chunks(batch.column(1), 1 << 20):
                 n, raw = j - i, C.LOWER[raw]
                 code, of = grams(raw, off, d)
                 some, back = np.unique(code, return_inverse=True)

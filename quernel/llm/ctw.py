@@ -7,22 +7,21 @@ every context its predictive estimate and the posterior weight of stopping there
 the empty context down to the longest one that training saw. Texts are A-Z lower-cased and close with an end mark.
 
 Training counts all (depth + 1)-grams of all training texts, in each task first, then by a shuffle that grows with the
-input. What is broadcast is the finished model: contexts are hashed into at most 2^slot_bits places per depth,
-whatever the size of the corpus (4 bytes a place), and a bounded table of the commonest words for the base score.
+input. No node is dropped or approximated for size: distinct grams to score meet the training grams by their NEAR next
+bytes in a shuffle, where a task builds all contexts of NEAR bytes or more and scores by them. What is broadcast is bounded: the
+contexts shorter than NEAR, the commonest grams with their scores, and the commonest words for the base score.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -34,13 +33,13 @@ EDGE = 0xFF
 GATHERED = 1_000_000
 #: Commonest words that are broadcast; the others meet their counts in a join.
 HOT_WORDS = 1 << 16
-#: Grams whose probability a worker remembers (12 bytes each); the store starts anew when full.
-REMEMBERED = 1_500_000
-
-_tables: dict[str, "Tables"] = {}
+#: Commonest training grams whose scores are broadcast (16 bytes each); the others meet theirs in a join.
+HOT_GRAMS = 1 << 20
+#: Bytes next to the coded one by which grams meet in a task.
+NEAR = 3
 
 #: Fractions of a natural log in which sums of logs pass through a shuffle.
-FIXED = 1000
+FIXED = 1 << 20
 
 _BITS = np.arange(7, -1, -1)
 
@@ -60,30 +59,6 @@ def grams(raw: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.
     return code[at], doc
 
 
-def node_places(key: np.ndarray, d: int, slot_bits: int) -> np.ndarray:
-    """The places of nodes (context bytes and choice node, packed) in the table of context length d >= 2."""
-    return (C.mix(key + U64(d * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(64 - slot_bits)).astype(np.int64)
-
-
-def checks(key: np.ndarray) -> np.ndarray:
-    """A byte that tells most other nodes with the same place apart."""
-    return ((key * U64(0xD6E8FEB86659FD93)) >> U64(40) & U64(255)).astype(np.int64)
-
-
-def places(code: np.ndarray, d: int, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each gram and each of its eight choices, the place of its node in the table of context length d, and the check byte."""
-    symbol = (code & U64(255)).astype(np.int64)
-    node = (256 | symbol[:, None]) >> (_BITS + 1)[None]
-    context = (code >> U64(8)) & U64((1 << (8 * d)) - 1)
-    key = (context[:, None] << U64(8)) | node.astype(U64)
-    key = key.reshape(-1)
-    return (key.astype(np.int64) if d < 2 else node_places(key, d, slot_bits)), checks(key)
-
-
-def table_size(d: int, slot_bits: int) -> int:
-    return 256 ** (d + 1) if d < 2 else 1 << slot_bits
-
-
 def choices(code: np.ndarray) -> np.ndarray:
     return ((code & U64(255)).astype(np.int64)[:, None] >> _BITS[None]) & 1
 
@@ -171,136 +146,115 @@ def _grouped(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[order][first], back, *(np.add.reduceat(s[order], first) for s in sums)
 
 
-def _packed(d: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place and value of nodes: the log of the count (which wins a place), a check byte, the estimate in 1/65536, the stopping weight in 1/255."""
-    n = a + b
-    estimate = np.clip(np.round((b + 0.5) / (n + 1) * 65536), 1, 65535).astype(np.int64)
-    place = key.astype(np.int64) if d < 2 else node_places(key, d, slot_bits)
-    return place, np.minimum(np.log2(n) * 3, 126).astype(np.int64) << 32 | checks(key) << 24 | estimate << 8 | np.round(stop * 255).astype(np.int64)
-
-
 def _weigh(kt: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted log probability of nodes, and the posterior weight of stopping there."""
     pw = np.logaddexp(kt, longer) + math.log(0.5)
     return pw, np.exp(math.log(0.5) + kt - pw)
 
 
-def context_tree(gram_counts: DataFrame, depth: int, slot_bits: int) -> DataFrame:
-    """(d, place, value): the packed nodes of all contexts, and for d = -1 the sums that contexts of one byte are made of.
-
-    Grams meet by the two bytes next to the coded one, so that a task builds all longer contexts by itself, from the longest
-    down; it passes on a few sums for each two-byte context. Nodes seen once weigh in the mixing, but aren't passed on: scoring stops at
-    the next shorter context there. Of nodes that share a place, the one with the largest count stays.
+def _nodes(code: np.ndarray) -> np.ndarray:
+    """Keys of the eight choice nodes of each gram: its context and the node, packed."""
+    node = (256 | (code & U64(255)).astype(np.int64)[:, None]) >> (_BITS + 1)[None]
+    return (((code >> U64(8)) << U64(8))[:, None] | node.astype(U64)).reshape(-1)
+
+
+def _levels(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[list[tuple], tuple]:
+    """From all training grams of some NEAR-byte contexts: their nodes (d, key, zeros, ones, stopping weight) by context
+    length, longest first, and what they add to nodes of NEAR - 1 bytes (key, zeros, ones, log of the product of longer ones)."""
+    n, bit = np.repeat(count, 8), choices(code).reshape(-1)
+    key, _, a, b = _grouped(_nodes(code), n * (1 - bit), n * bit)
+    pw, stop, levels = log_kt(a, b), np.ones(len(key)), []
+    for d in range(depth, NEAR - 1, -1):
+        levels.append((d, key, a, b, stop))
+        key, _, a, b, longer = _grouped(key & U64((1 << (8 * d)) - 1), a, b, pw)  # without the farthest byte
+        if d > NEAR:
+            pw, stop = _weigh(log_kt(a, b), longer)
+    return levels, (key, a, b, longer)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """A partition's columns (the first holds grams), in runs of whole NEAR-byte contexts, about 100,000 grams each."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    columns = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(got[0].num_columns)]
+    columns[0] = columns[0].view(U64)
+    near = (columns[0] >> U64(8)) & U64((1 << 8 * NEAR) - 1)
+    order = np.argsort(near, kind="stable")
+    columns, near = [x[order] for x in columns], near[order]
+    cuts = np.concatenate(([0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(near)]))
+    i = 0
+    while i + 1 < len(cuts):
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + 100_000, side="right")) - 1)
+        yield [x[cuts[i] : cuts[j]] for x in columns]
+        i = j
+
+
+def _by_context(grams: DataFrame) -> DataFrame:
+    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grams.repartition(parts, F.shiftright("key", 8).bitwiseAND((1 << 8 * NEAR) - 1))
+
+
+def context_tree(gram_counts: DataFrame, depth: int, slot_bits: int | None = None, short: bool = False) -> DataFrame:
+    """(d, key, zeros, ones, stop): all nodes of contexts of NEAR bytes or more (none if short), and for d = NEAR - 1 the parts
+    that its nodes are summed from, with the log of the product of longer ones, in 1/FIXED, as stop. slot_bits is not used any more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        code = np.concatenate([b.column(0).to_numpy() for b in got]).view(U64)
-        count = np.concatenate([b.column(1).to_numpy() for b in got])
-        near = (code >> U64(8)) & U64(0xFFFF)
-        order = np.argsort(near, kind="stable")
-        code, count, near = code[order], count[order], near[order]
-        cuts = np.concatenate(([0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(near)]))
-        i = 0
-        while i + 1 < len(cuts):  # whole two-byte contexts, about 100,000 grams at once
-            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + 100_000, side="right")) - 1)
-            c, n = code[cuts[i] : cuts[j]], count[cuts[i] : cuts[j]]
-            i = j
-            symbol = (c & U64(255)).astype(np.int64)
-            node = ((256 | symbol[:, None]) >> (_BITS + 1)[None]).astype(U64)
-            key = (((c >> U64(8)) << U64(8))[:, None] | node).reshape(-1)
-            n, bit = np.repeat(n, 8), choices(c).reshape(-1)
-            key, _, a, b = _grouped(key, n * (1 - bit), n * bit)
-            pw = log_kt(a, b)
-            stop = np.ones(len(key))
-            for d in range(depth, 1, -1):
-                up = key & U64((1 << (8 * d)) - 1)  # the context without its farthest byte
-                above, back, a2, b2, longer = _grouped(up, a, b, pw)
-                many = a + b > 1
-                place, value = _packed(d, key[many], a[many], b[many], stop[many], slot_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), d, np.int32)), pa.array(place), pa.array(value)], ["d", "place", "value"])
-                if d > 2:
-                    key, a, b = above, a2, b2
-                    pw, stop = _weigh(log_kt(a, b), longer)
-            # above: one-byte contexts' nodes, whose parts lie in several tasks
-            for k, sums in ((-1, a2), (-2, b2), (-3, np.round(longer * FIXED).astype(np.int64))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(above), k, np.int32)), pa.array(above.astype(np.int64)), pa.array(sums)], ["d", "place", "value"])
-
-    near = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    parts = int(gram_counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return gram_counts.repartition(parts, near).mapInArrow(run, "d int, place long, value long")
+        for code, count in _contexts(batches):
+            levels, (key, a, b, longer) = _levels(code, count, depth)
+            for d, *columns in [*([] if short else levels), (NEAR - 1, key, a, b, np.round(longer * FIXED))]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), d, np.int32)), pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["d", "key", "zeros", "ones", "stop"])
+
+    return _by_context(gram_counts).mapInArrow(run, "d int, key long, zeros long, ones long, stop double")
 
 
 class Tables:
-    """The model as arrays: estimates in 1/65536 (0: unseen), stopping weights in 1/255, check bytes."""
+    """Nodes by context length: sorted keys, counts, estimates of a one, stopping weights."""
 
-    def __init__(self, depth: int, slot_bits: int, arrays: list[tuple[np.ndarray, ...]]) -> None:
-        self.depth, self.slot_bits, self.arrays = depth, slot_bits, arrays
-        self.known = [(np.zeros(0, U64), np.zeros(0, np.float32))] * 2  # a large and a small sorted run of scored grams
+    def __init__(self, depth: int) -> None:
+        empty = (np.zeros(0, U64), np.zeros(0), np.zeros(0))
+        self.depth, self.levels = depth, {d: empty for d in range(depth + 1)}
+
+    def put(self, d: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> None:
+        if d >= 2:
+            many = a + b > 1
+            key, a, b, stop = key[many], a[many], b[many], stop[many]
+        self.levels[d] = key, (b + 0.5) / (a + b + 1), stop
 
     @classmethod
-    def gather(cls, tree: DataFrame, depth: int, slot_bits: int) -> Tables:
-        """Brings the tree's places, at most as many as the tables hold, and the sums of one-byte contexts to the driver."""
-        arrays = [(np.zeros(n := table_size(d, slot_bits), np.uint16), np.zeros(n, np.uint8), np.zeros(n, np.uint8)) for d in range(depth + 1)]
-
-        def put(d: int, place: np.ndarray, value: np.ndarray) -> None:
-            arrays[d][0][place], arrays[d][1][place], arrays[d][2][place] = value >> 8 & 0xFFFF, value & 255, value >> 24 & 255
-
-        # one aggregation for both: the best node of each place, and the sums of one-byte contexts' nodes
-        found = tree.groupBy("d", "place").agg(F.max("value").alias("best"), F.sum("value").alias("value"))
-        found = found.select(F.col("d").cast("byte").alias("d"), F.col("place").cast("int").alias("place"), F.when(F.col("d") < 0, F.col("value")).otherwise(F.col("best")).alias("value"))
-        sums = []
-        for batch in found.toArrow().to_batches():
-            d, place, value = (batch.column(c).to_numpy() for c in range(3))
-            for k in range(2, depth + 1):
-                put(k, place[d == k], value[d == k])
-            sums.append(batch.filter(pc.less(batch.column(0), 0)).to_pandas())
-        sums = pd.concat(sums).sort_values("place") if sums else pd.DataFrame({c: [] for c in ("d", "place", "value")})
-        zeros, ones, logs = (sums["value"][sums["d"] == -k].to_numpy(np.int64) for k in (1, 2, 3))
-        key, a, b, longer = sums["place"][sums["d"] == -1].to_numpy(np.int64).astype(U64), zeros, ones, logs / FIXED
-        for d in (1, 0):
-            if len(key):
-                pw, stop = _weigh(log_kt(a, b), longer)
-                put(d, *_packed(d, key, a, b, stop, slot_bits))
-                key, _, a, b, longer = _grouped(key & U64(255), a, b, pw)
-        return cls(depth, slot_bits, arrays)
-
-    def remembered(self, code: np.ndarray) -> np.ndarray:
-        """log10 of sorted distinct grams, of which up to REMEMBERED are kept for the next texts."""
-        out, new = np.zeros(len(code)), np.ones(len(code), bool)
-        for keys, values in self.known:
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-                hit = keys[place] == code
-                out[hit], new = values[place[hit]], new & ~hit
-        fresh = code[new]
-        if len(fresh):
-            out[new] = np.concatenate([self.log10(fresh[k : k + 50_000]) for k in range(0, len(fresh), 50_000)])
-            large, small = self.known
-            small = self._union(small, (fresh, out[new].astype(np.float32)))
-            if 4 * len(small[0]) > len(large[0]):
-                large, small = self._union(large, small), (np.zeros(0, U64), np.zeros(0, np.float32))
-            self.known = [large, small] if len(large[0]) <= REMEMBERED else [(np.zeros(0, U64), np.zeros(0, np.float32))] * 2
+    def gather(cls, tree: DataFrame, depth: int, slot_bits: int | None = None) -> Tables:
+        """Brings a tree's nodes to the driver; those of contexts shorter than NEAR are at most 2^(8 NEAR), whatever the corpus."""
+        out = cls(depth)
+        found = tree.groupBy("d", "key").agg(F.sum("zeros").alias("a"), F.sum("ones").alias("b"), F.sum("stop").alias("stop")).toArrow()
+        d, key, a, b, stop = (found.column(k).to_numpy() for k in range(5))
+        key = key.view(U64)
+        order = np.argsort(key)
+        d, key, a, b, stop = (x[order] for x in (d, key, a, b, stop))
+        for k in range(NEAR, depth + 1):
+            out.put(k, key[d == k], a[d == k], b[d == k], stop[d == k])
+        at = d == NEAR - 1
+        key, a, b, longer = key[at], a[at], b[at], stop[at] / FIXED
+        for k in range(NEAR - 1, -1, -1) if len(key) else ():
+            pw, stop = _weigh(log_kt(a, b), longer)
+            out.put(k, key, a, b, stop)
+            key, _, a, b, longer = _grouped(key & U64((1 << (8 * k)) - 1), a, b, pw)
         return out
 
-    @staticmethod
-    def _union(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(x[0], y[0])
-        return np.insert(x[0], at, y[0]), np.insert(x[1], at, y[1])
-
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the others."""
-        bit = choices(code).reshape(-1)
+        bit, nodes = choices(code).reshape(-1), _nodes(code)
         left, mixed = np.ones(len(bit)), np.zeros(len(bit))
         last, live = np.full(len(bit), 0.5), np.ones(len(bit), bool)
         for d in range(self.depth + 1):
-            place, check = places(code, d, self.slot_bits)
-            e = self.arrays[d][0][place]
-            live &= (e > 0) & (self.arrays[d][2][place] == check)
-            p = e / 65536.0
-            w = np.where(live, self.arrays[d][1][place] / 255.0, 0.0)
+            keys, estimate, stop = self.levels[d]
+            if not len(keys):
+                break
+            key = nodes & U64((1 << (8 * (d + 1))) - 1)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            live &= keys[place] == key
+            p = estimate[place]
+            w = np.where(live, stop[place], 0.0)
             mixed += left * w * p
             left *= 1 - w
             last = np.where(live, p, last)
@@ -308,7 +262,45 @@ class Tables:
         return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 5, slot_bits: int = 21, alpha: float = 0.1) -> DataFrame:
+def gram_scores(grams: DataFrame, short: Tables) -> DataFrame:
+    """(key, log): log10 of the asked grams of grams (key, c, asked), of which those with c > 0 are the training grams."""
+    depth = short.depth
+    sent = grams.sparkSession.sparkContext.broadcast(short.levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(depth)
+        for code, count, asked in _contexts(batches):
+            code_asked = np.sort(code[asked])
+            if not len(code_asked):
+                continue
+            tables.levels = {d: sent.value[d] for d in range(depth + 1)}
+            known = count > 0
+            for level in _levels(code[known], count[known], depth)[0] if known.any() else ():
+                tables.put(*level)
+            for k in range(0, len(code_asked), 50_000):
+                some = code_asked[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(tables.log10(some))], ["key", "log"])
+
+    return _by_context(grams).mapInArrow(run, "key long, log double")
+
+
+def hot_count(gram_counts: DataFrame) -> int:
+    """The smallest power-of-2^(1/8) class of counts whose grams and all commoner ones are at most HOT_GRAMS."""
+    sizes = gram_counts.groupBy(count_class().alias("k")).count().collect()
+    out, total = max([r.k for r in sizes], default=0) + 1, 0
+    for r in sorted(sizes, key=lambda r: -r.k):
+        total += r["count"]
+        if total > HOT_GRAMS:
+            break
+        out = r.k
+    return out
+
+
+def count_class() -> Column:
+    return F.floor(F.log2("c") * 8)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 5, alpha: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Rows whose id's crc32 modulo folds is held (and rows without an id) are scored only; all others are learned from too. score is the
@@ -325,30 +317,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     total, distinct = known[1] + ends, known[0] + (ends > 0)
     floor = total + alpha * (distinct + 1)
-    tree = context_tree(counts.where("kind = 0").select("key", "c"), depth, slot_bits)
-    model = Tables.gather(tree, depth, slot_bits)
+    trained = counts.where("kind = 0").select("key", "c")
+    short = Tables.gather(context_tree(trained, depth, short=True), depth)
+    common = gram_scores(trained.select("key", "c", (count_class() >= hot_count(trained)).alias("asked")), short).toArrow()
+    hot_grams, hot_logs = common.column(0).to_numpy().view(U64), common.column(1).to_numpy()
+    order = np.argsort(hot_grams)
+    hot_grams, hot_logs = hot_grams[order], hot_logs[order]
     hot = words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toPandas()
     hot_keys = hot["word"].to_numpy(np.int64).view(U64)
     order = np.argsort(hot_keys)
     hot_keys, hot_counts = hot_keys[order], hot["c"].to_numpy(np.int64)[order]
-    mark = uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast((mark, model.depth, model.slot_bits, [tuple(a.tobytes() for a in x) for x in model.arrays], hot_keys.tobytes(), hot_counts.tobytes()))
+    sent = docs.sparkSession.sparkContext.broadcast((hot_grams, hot_logs, hot_keys, hot_counts))
     end_log = math.log10((ends + alpha) / floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, d, bits, arrays, keys, values = sent.value
-        if mark not in _tables:  # one model per worker
-            _tables.clear()
-            _tables[mark] = Tables(d, bits, [(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint8), np.frombuffer(c, np.uint8)) for a, b, c in arrays])
-        tables = _tables[mark]
-        keys, logs = np.frombuffer(keys, U64), np.log10((np.frombuffer(values, np.int64) + alpha) / floor)
+        codes, code_logs, keys, values = sent.value
+        logs = np.log10((values + alpha) / floor)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
             for i, j, raw, off in C.text_chunks(batch.column(1), 1 << 20):
                 n, raw = j - i, C.LOWER[raw]
-                code, of = grams(raw, off, d)
+                code, of = grams(raw, off, depth)
                 some, back = np.unique(code, return_inverse=True)
-                score = np.bincount(of, tables.remembered(some)[back], n)
+                place = np.minimum(np.searchsorted(codes, some), max(len(codes) - 1, 0))
+                hit = codes[place] == some if len(codes) else np.zeros(len(some), bool)
+                score = np.bincount(of, np.where(hit, code_logs[place], 0.0)[back], n) if hit.any() else np.zeros(n)
+                far = ~hit[back]
+                pair, times = np.unique(of[far] * len(some) + back[far], return_counts=True)
+                far_bound = pa.array(C.row_bounds(pair // max(len(some), 1), n), pa.int32())
+                far_grams = pa.ListArray.from_arrays(far_bound, pa.array(some[pair % max(len(some), 1)].view(np.int64)))
+                times = pa.ListArray.from_arrays(far_bound, pa.array(times))
                 start, end, doc = C.spans(raw, off)
                 word = C.span_hashes(C.prefix_sums(raw), start, end)
                 place = np.minimum(np.searchsorted(keys, word), max(len(keys) - 1, 0))
@@ -357,15 +355,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 seen = np.bincount(doc[hit], minlength=n) + (ends > 0)
                 bound = C.row_bounds(doc[~hit], n)
                 cold = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(word[~hit].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(i, n), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(seen), pa.array(base), pa.array(score), pa.array(np.diff(off)), cold], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "cold"])
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(i, n), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(seen), pa.array(base), pa.array(score), pa.array(np.diff(off)), cold, far_grams, times], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "cold", "grams", "times"])
                 row += n
 
-    rows = C.stored(texts.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, bytes long, cold array<long>"), "scored")
-    rare = rows.select("row", F.explode("cold").alias("word"))
-    rare = rare.join(words, "word", "left")
-    rare = rare.groupBy("row").agg(F.count("c").alias("more_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + alpha) / F.lit(float(floor)))).alias("more_base"))
-    out = rows.drop("cold").join(rare, "row", "left")
+    rows = C.stored(texts.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, bytes long, cold array<long>, grams array<long>, times array<long>"), "scored")
     zero = F.lit(0)
+    rare = rows.select("row", F.explode("cold").alias("word")).join(words, "word", "left")
+    rare = rare.select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((F.coalesce("c", zero) + alpha) / F.lit(float(floor))).alias("base"), F.lit(0.0).alias("log"))
+    asked = rows.select(F.explode("grams").alias("key")).distinct()
+    asked = trained.select("key", "c", F.lit(False).alias("asked")).union(asked.select("key", F.lit(0).cast("long"), F.lit(True)))
+    far = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.times").alias("times"))
+    far = far.join(gram_scores(asked, short), "key").select("row", F.lit(0).cast("long"), F.lit(0.0), F.col("times") * F.col("log"))
+    rare = rare.union(far).groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("log").alias("more_score"))
+    out = rows.drop("cold", "grams", "times").join(rare, "row", "left")
+    score = F.col("score") + F.coalesce("more_score", zero)
     return out.select(
         "doc_id",
         held_out.alias("held_out"),
@@ -373,6 +376,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("n_known") + F.coalesce("more_known", zero)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        "score",
-        (-F.col("score") * math.log2(10) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score * math.log2(10) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -300,7 +300,7 @@ def count_class() -> Column:
     return F.floor(F.log2("c") * 8)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 5, alpha: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 6, alpha: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Rows whose id's crc32 modulo folds is held (and rows without an id) are scored only; all others are learned from too. score is the

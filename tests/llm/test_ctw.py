@@ -94,3 +94,12 @@ def test_scores_of_joined_grams(spark, monkeypatch, hot):
     assert len(got) == len(twice)
     for r in got:
         assert r.score == pytest.approx(want[text[r.doc_id]], rel=1e-5)
+
+
+def test_six_context_bytes(spark):
+    rows = [(i, "xabcdeq" if i % 2 else "yabcdez") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own, six, five = ({r.doc_id: r.score for r in ctw.score_texts(docs, **k).collect()} for k in ({}, {"depth": 6}, {"depth": 5}))
+    log10 = brute(split(rows), 6)
+    for i, t in rows[:2]:
+        assert own[i] == six[i] == pytest.approx(log10(t), rel=1e-5) and own[i] > five[i] + 0.2

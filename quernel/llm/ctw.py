@@ -217,9 +217,6 @@ class Tables:
         self.depth, self.levels = depth, {d: empty for d in range(depth + 1)}
 
     def put(self, d: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> None:
-        if d >= 2:
-            many = a + b > 1
-            key, a, b, stop = key[many], a[many], b[many], stop[many]
         self.levels[d] = key, (b + 0.5) / (a + b + 1), stop
 
     @classmethod

@@ -103,3 +103,11 @@ def test_six_context_bytes(spark):
     log10 = brute(split(rows), 6)
     for i, t in rows[:2]:
         assert own[i] == six[i] == pytest.approx(log10(t), rel=1e-5) and own[i] > five[i] + 0.2
+
+
+def test_nodes_seen_once_are_kept(spark):
+    rows = [*enumerate(sentences(120, 3))]
+    log10 = brute(split(rows), 6)
+    got = {r.doc_id: r.score for r in ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(log10(t), rel=1e-5)

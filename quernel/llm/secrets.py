@@ -1,6 +1,7 @@
 """Secret scans, in DataFrame functions and MLlib only.
 
-Candidates are long runs of key-like characters in words. A random forest over the candidate's length, character
+Candidates are runs of 16 or more key-like characters in words, and values of 6 or more characters of any kind (but quotes,
+commas and semicolons) that directly follow a keyed word and = or :. Shorter and unnamed ones aren't seen. A random forest over the candidate's length, character
 transitions, dictionary coverage, path shape and neighbouring words, trained from labelled findings, removes false
 positives. The forest is trained by MLlib, then written out as one SQL expression, so that scoring stays inside each
 document's row: no candidate is exploded, joined or shuffled, and long or popular documents make no hot group.
@@ -22,28 +23,40 @@ SHAPE = r"[A-Za-z0-9_+/=\-]{16,}"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur|un|ei|ie|qu|ci|os|ue|la"
 WORDS = "the|and|ing|tion|ent|ion|tio|for|tha|her|ere|ate|his|con|res|ver|all|ons|nce|men|ith|ted|ers|pro|thi|wit|are|ess|not|ive|was|ect|rea|com|eve|per|int|est|sta|cti|ica|ist|ear|ain|one|our|iti|rat|path|file|name|user|data|test|page|index|value|config|token|secret|example|sample|your|here|public|local|home|http|www|mail|comment|ciones|mente|keit|ung|lich|schaft|eaux|elle"
 KEYED = r"(?i)(secret|token|passwd|password|pwd|api_?-?key|apikey|auth|bearer|credential|access_?-?key|private)"
+#: A keyed word with = or :, and a value after it in the same word, or in the next one (over the last three words).
+NAMED = KEYED + r"""(?:s|key|value)?(?![a-z])[\w\-]*["']?"""
+NAMED_VALUE = NAMED + r"""[=:]+["'`]?([^\s"'`,;]{6,})"""
+NEXT_VALUE = NAMED + r"""(?: ?[=:]+ | [=:]+)["'`]?([^\s"'`,;]{6,})[^ ]*$"""
 HASHED = r"(?i)(commit|sha-?\d*|md5|digest|checksum|hash|revision|uuid|guid|\bid\b|etag|build)"
 MADE_UP = r"(?i)(example|sample|dummy|placeholder|your|changeme|xxxx|todo|test|\*\*\*\*|<.*>)"
 KNOWN = r"^(AKIA|ASIA|ghp_|gho_|sk_live|sk-|xox[abp]-|eyJ|AIza|glpat-)"
 
-FEATURES = ("length", "digits", "upper", "runs", "distinct", "dictionary", "pairs", "hex", "path", "address", "keyed", "hashed", "made_up", "known", "repeats")
+FEATURES = ("length", "digits", "upper", "runs", "distinct", "dictionary", "pairs", "hex", "path", "address", "keyed", "hashed", "made_up", "known", "repeats", "named")
 
 
 def candidates(text: Column, reach: int = 3) -> Column:
-    """array<struct<at, word, before, after, value>>: the candidates of a text with the words around."""
-    words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-
-    def near(i: Column) -> Column:
-        low = F.greatest(i - reach, F.lit(0))
-        return F.array_join(F.slice(words, low + 1, i - low), " ")
-
-    def found(w: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(words, i + 1), F.lit(""))
-        values = F.regexp_extract_all(w, F.lit(SHAPE), F.lit(0))
-        many = F.transform(values, lambda v: F.struct(i.alias("at"), w.alias("word"), near(i).alias("before"), after.alias("after"), v.alias("value")))
-        return F.when(F.length(w) >= 16, many)
-
-    return F.flatten(F.filter(F.transform(words, found), lambda x: x.isNotNull() & (F.size(x) > 0)))
+    """array<struct<at, word, before, after, value, named>>: the candidates of a text with the words around."""
+    text = F.coalesce(text, F.lit(""))
+
+    def gathered(words: Column, named: bool) -> Column:
+        def found(w: Column, i: Column) -> Column:
+            low = F.greatest(i - reach, F.lit(0))
+            near = F.array_join(F.slice(words, low + 1, i - low), " ")
+            after = F.coalesce(F.get(words, i + 1), F.lit(""))
+            structs = lambda values, named: F.transform(values, lambda v: F.struct(i.alias("at"), w.alias("word"), near.alias("before"), after.alias("after"), v.alias("value"), F.lit(named).alias("named")))
+            runs = F.regexp_extract_all(w, F.lit(SHAPE), F.lit(0))
+            if not named:
+                return F.when(F.length(w) >= 16, structs(runs, False))
+            last = F.regexp_extract(F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), w), NEXT_VALUE, 2)
+            values = F.array_union(F.regexp_extract_all(w, F.lit(NAMED_VALUE), F.lit(2)), F.array(last))
+            return F.concat(structs(runs, False), structs(F.array_except(values, F.array_union(runs, F.array(F.lit("")))), True))
+
+        return F.flatten(F.filter(F.transform(words, found), lambda x: x.isNotNull() & (F.size(x) > 0)))
+
+    # the words are bound to a lambda's variable, so that they are split once; most texts name no value
+    words = F.array(F.split(text, r"[\x20\x09-\x0D]+"))
+    some = text.rlike(NAMED + r"[\x20\x09-\x0D]*[=:]")
+    return F.when(some, F.transform(words, lambda w: gathered(w, True))[0]).otherwise(F.transform(words, lambda w: gathered(w, False))[0])
 
 
 def features(c: Column) -> Column:
@@ -63,11 +76,12 @@ def features(c: Column) -> Column:
         flag(v.rlike("^[0-9a-fA-F]+$")),
         flag(word.rlike(r"/[A-Za-z_.\-]+/|://|\.(py|js|java|rs|go|html?|txt|json|png|jpg|cfg|md)\b|^\.{0,2}/")),
         flag(word.rlike(r"@|://|www\.")),
-        flag(F.concat_ws(" ", c["before"], F.regexp_extract(word, f"^(.*?){SHAPE}", 1)).rlike(KEYED)),
+        flag(c["named"] | F.concat_ws(" ", c["before"], F.regexp_extract(word, f"^(.*?){SHAPE}", 1)).rlike(KEYED)),
         flag(F.concat_ws(" ", c["before"], F.regexp_extract(word, f"^(.*?){SHAPE}", 1)).rlike(HASHED)),
         flag(F.concat_ws(" ", word, c["after"]).rlike(MADE_UP)),
         flag(v.rlike(KNOWN)),
         share(r"(.)\1{3,}"),
+        flag(c["named"]),
     )
 
 
@@ -80,11 +94,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     word = lambda k, n: F.concat(*[pick(100 * k + i) for i in range(n)])
     key = F.element_at(F.array(*map(F.lit, ("token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "SECRET_KEY"))), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8)) + 1).cast("int"))
     put = F.element_at(F.array(*map(F.lit, (' = "', '="', ": ", "=", ": '"))), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("password", "pwd", "passwd", "db_password", "token", "secret", "PASSWORD", "api_key"))), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(8)) + 1).cast("int"))
     true = [
         F.concat(key, put, part(3, 40), F.lit('"')), F.concat(key, put, part(4, 32), F.lit('"')), F.concat(key, put, part(5, 64), F.lit('"')),
         F.concat(key, put, both(6, 24)), F.concat(key, put, both(7, 40), F.lit("==")), F.concat(key, put, both(8, 32), F.lit('"')),
         F.concat(F.lit("AKIA"), part(9, 16, "A7BC2DE3FG4HJ5KL")), F.concat(F.lit("ghp_"), both(10, 36)), F.concat(F.lit("Authorization: Bearer eyJ"), both(11, 60)),
         F.concat(F.lit("sk_live_"), both(12, 24)), F.concat(key, F.lit(" "), both(13, 20)), F.concat(F.lit("xoxb-"), part(14, 12, "0123456789012345"), F.lit("-"), both(15, 24)),
+        F.concat(name, put, both(60, 8)), F.concat(name, put, word(61, 2), part(62, 1, "0123456789012345")), F.concat(name, put, both(63, 6), F.lit("&"), part(64, 3)), F.concat(name, put, F.initcap(word(65, 2)), part(66, 4, "0123456789012345"), F.lit("!")),
+        F.concat(name, put, part(67, 3), word(68, 2), part(69, 2, "!$%&#+*?!$%&#+*?")), F.concat(key, put, both(70, 12), F.lit("."), both(71, 10), F.lit("."), both(72, 8)),
     ]
     false = [
         F.concat(F.lit("commit "), part(20, 40)), F.concat(F.lit("sha256 checksum "), part(21, 64)), F.concat(word(22, 3), F.lit("."), part(23, 2, "0123456789012345"), F.lit("@mail"), part(24, 1), F.lit(".example.com")),
@@ -92,6 +109,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         F.concat(F.lit("https://www.example.com/"), word(31, 4), F.lit("/"), word(32, 3), F.lit("-"), part(33, 4)), F.concat(key, F.lit(' = "your_'), key, F.lit('_goes_here"')), part(34, 16, "0123456789012345"),
         F.concat(F.lit("id "), part(35, 8), F.lit("-"), part(36, 4), F.lit("-"), part(37, 4), F.lit("-"), part(38, 12)), F.concat(key, put, F.lit("xxxxxxxxxxxxxxxxxxxxxxxx")), F.concat(key, F.lit(" = get_"), word(39, 2), F.lit("_"), word(40, 3), F.lit("()")),
         F.concat(word(41, 4), F.lit("-"), word(42, 4)), F.concat(F.lit("md5 digest "), part(43, 32)), F.concat(key, F.lit(" "), word(44, 8)), F.concat(F.upper(word(45, 7)), F.lit("!!")), F.concat(F.lit("===="), F.repeat(F.lit("="), 30)), F.repeat(F.lit("-"), 40),
+        F.concat(name, put, word(80, 3)), F.concat(name, F.lit(": "), F.element_at(F.array(*map(F.lit, ("required", "optional", "string", "undefined", "os.environ", "self.token", "********", "<password>"))), (F.pmod(F.xxhash64("id", F.lit(81)), F.lit(8)) + 1).cast("int"))),
+        F.concat(name, put, word(82, 2), F.lit("."), word(83, 2), F.lit("()")), F.concat(name, F.lit(": "), word(84, 4), F.lit(".")), F.concat(name, F.lit(' = "your_'), name, F.lit('"')), F.concat(name, put, word(85, 2), F.lit("_"), word(86, 2)),
     ]
     kinds = true + false
     kind = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(len(kinds))).cast("int")

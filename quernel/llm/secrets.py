@@ -59,6 +59,12 @@ def candidates(text: Column, reach: int = 3) -> Column:
     return F.when(some, F.transform(words, lambda w: gathered(w, True))[0]).otherwise(F.transform(words, lambda w: gathered(w, False))[0])
 
 
+def distinct(v: Column) -> Column:
+    """Distinct characters of a whole value: each printable ASCII character is looked for, so that time is linear in the length."""
+    seen = F.size(F.filter(F.array(*[F.lit(chr(k)) for k in range(33, 127)]), lambda x: F.instr(v, x) > 0))
+    return seen + F.size(F.array_remove(F.array_distinct(F.split(F.regexp_replace(v, r"[\x21-\x7E]+", ""), "")), ""))
+
+
 def features(c: Column) -> Column:
     """array<double> in the order of FEATURES."""
     v, word = c["value"], c["word"]
@@ -70,7 +76,7 @@ def features(c: Column) -> Column:
         share("[0-9]"),
         share("[A-Z]"),
         F.size(F.regexp_extract_all(v, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))) / size,
-        F.size(F.array_distinct(F.split(F.substring(v, 1, 1000), ""))) / F.least(size, F.lit(60.0)),
+        distinct(v).cast("double") / F.least(size, F.lit(60.0)),
         share(WORDS, F.lower(v)),
         share(PAIRS, F.lower(v)),
         flag(v.rlike("^[0-9a-fA-F]+$")),

@@ -1,6 +1,7 @@
 """Short named secrets."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import secrets
 
@@ -25,3 +26,11 @@ def test_short_named_values(scanned):
         assert value in [f.value for f in scanned[text].findings] and value not in scanned[text].redacted, text
     for text in CLEAN:
         assert not scanned[text].findings and scanned[text].redacted == text, text
+
+
+def test_distinct_characters_of_whole_values(spark):
+    values = ["=" * 1200 + "0123456789abcdefXYZ", "a", "abcabc", "Tr0ub4dor&3", "pässwörd"]
+    c = F.struct(F.col("v").alias("value"), F.col("v").alias("word"), F.lit("").alias("before"), F.lit("").alias("after"), F.lit(False).alias("named"))
+    k = secrets.FEATURES.index("distinct")
+    for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.features(c)[k].alias("x")).collect():
+        assert r.x == pytest.approx(len(set(r.v)) / min(len(r.v), 60)), r.v

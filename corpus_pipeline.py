@@ -33,10 +33,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says."""
+    """Each row as often as its own rate says. A rate's fraction is drawn by the hash of the id, so that rows that share an
+    id share the draw; rows without an id draw by their text."""
     labelled = labelled_languages(docs, table(spark, sf_dir, "labels"))
-    rates = C.stored(mixing.rates(docs, labelled, TARGETS).groupBy("doc_id").agg(F.first("copies").alias("__copies")).where("__copies > 0"), "rates")
-    return docs.join(C.small(rates, rates.count()), "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    rates = mixing.rates(docs.withColumn("__id", F.coalesce("doc_id", F.xxhash64("text"))), labelled, TARGETS, id_col="__id", carry=True)
+    return rates.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

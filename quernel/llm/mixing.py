@@ -31,9 +31,11 @@ def token_count(text: Column) -> Column:
     return F.size(F.array_remove(parts, "")).cast("long")
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int, features: int) -> DataFrame:
-    """(doc_id, n, p): token count, and posteriors in the order of domains."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("n"), words(F.col(text_col)).alias("words"))
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, sample: int, features: int, carry: bool = False) -> DataFrame:
+    """(doc_id, n, p): token count, and posteriors in the order of domains; if carry, also the whole row."""
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
+    more = ["row"] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("n"), words(F.col(text_col)).alias("words"), *whole)
     seen = labelled.select(F.col("text"), F.col("domain")).where(F.col("domain").isin(domains))
     seen = seen.orderBy(F.xxhash64("text", "domain"), "domain").limit(sample).select("domain", words(F.col("text")).alias("words"))
     steps = [HashingTF(inputCol="words", outputCol="counts", numFeatures=features), Normalizer(inputCol="counts", outputCol="x", p=2.0)]
@@ -42,16 +44,16 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     seen = C.stored(seen.select("domain", "x"), "domain-sample")
     found = [r["domain"] for r in seen.select("domain").distinct().collect()]
     if len(found) < 2:  # nothing to tell apart: the one domain that was seen, or all alike
-        return rows.select("doc_id", "n", F.array(*[F.lit(float(d in found) if found else 1 / len(domains)) for d in domains]).alias("p"))
+        return rows.select("doc_id", "n", F.array(*[F.lit(float(d in found) if found else 1 / len(domains)) for d in domains]).alias("p"), *more)
     index = StringIndexer(inputCol="domain", outputCol="y", stringOrderType="alphabetAsc").fit(seen)
     model = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-3, maxIter=40, probabilityCol="p").fit(index.transform(seen))
     at = {d: k for k, d in enumerate(index.labels)}
     p = vector_to_array("p")
-    return model.transform(rows).select("doc_id", "n", F.array(*[p[at[d]] if d in at else F.lit(0.0) for d in domains]).alias("p"))
+    return model.transform(rows).select("doc_id", "n", F.array(*[p[at[d]] if d in at else F.lit(0.0) for d in domains]).alias("p"), *more)
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", tokens: float | None = None, ridge: float = 1e-4, tolerance: float = 1e-6, max_steps: int = 60, sample: int = 4000, features: int = 4096) -> DataFrame:
-    """(doc_id, domain, n_tokens, p, rate, copies) for every row of docs.
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", tokens: float | None = None, ridge: float = 1e-4, tolerance: float = 1e-6, max_steps: int = 60, sample: int = 4000, features: int = 4096, carry: bool = False) -> DataFrame:
+    """(doc_id, domain, n_tokens, p, rate, copies) for every row of docs; if carry, also row, a struct of the row's columns.
 
     labelled has (text, domain), of which up to `sample` rows, by hash, fit the classifier; null and unknown domains
     are left out. targets are relative weights of domains; `tokens` is the wanted total (by default the present one).
@@ -60,7 +62,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     document carries cannot be met and leaves the rest as near as least squares gets. Other columns aren't read.
     """
     domains = sorted(targets)
-    table = C.stored(posteriors(docs, labelled, domains, id_col, text_col, sample, features), "posteriors")
+    table = C.stored(posteriors(docs, labelled, domains, id_col, text_col, sample, features, carry), "posteriors")
     n, p = F.col("n"), F.col("p")
     sums = lambda r: [F.sum(n * p[k] * r).alias(f"m{k}") for k in range(len(domains))]
     mass = [x or 0.0 for x in table.agg(*sums(F.lit(1.0))).first()]
@@ -84,4 +86,4 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     out = table.withColumn("rate", rate())
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     best = F.array_position(p, F.array_max(p)).cast("int")
-    return out.select("doc_id", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), F.col("n").alias("n_tokens"), "p", "rate", (F.floor("rate") + (share < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("copies"))
+    return out.select("doc_id", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), F.col("n").alias("n_tokens"), "p", "rate", (F.floor("rate") + (share < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("copies"), *(["row"] if carry else []))

@@ -21,9 +21,24 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more. The dropped ids are joined, broadcast only within a counted bound."""
-    dropped = C.stored(minhash.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct(), "dropped")
-    return docs.join(C.small(dropped, dropped.count()), "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more. The dropped ids are joined, broadcast only within a counted bound.
+
+    A row without an id stands behind those with one (below 2^62), by a hash of its text. Of rows that share id and text
+    one stays; rows that share an id but not the text stay or go together."""
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    rows = docs.withColumn("__id", F.coalesce("doc_id", own)).withColumn("__digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    dropped = C.stored(minhash.near_duplicates(docs.withColumn("__id", F.coalesce("doc_id", own)), id_col="__id", width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    rows = rows.join(C.small(dropped, dropped.count()), "__id", "left_anti")
+    # only rows that occur again are shuffled with their texts
+    key = F.xxhash64("__id", "__digest").alias("__key")
+    again = C.stored(rows.groupBy(key).count().where("count > 1").select("__key"), "again")
+    n = again.count()
+    if not n:
+        return rows.select(docs.columns)
+    rows = rows.withColumn("__key", F.xxhash64("__id", "__digest"))
+    once = rows.join(C.small(again, n), "__key", "left_anti")
+    more = rows.join(C.small(again, n), "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.select(docs.columns).union(more.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

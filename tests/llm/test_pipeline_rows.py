@@ -2,8 +2,6 @@
 
 from collections import Counter
 
-import pytest
-
 import corpus_pipeline
 from quernel.llm import queries
 
@@ -31,3 +29,16 @@ def test_mix_keeps_rows_without_id_and_rates_each_row(spark, tmp_path):
     own = {r.n_tokens: r.copies for r in rates if r.doc_id == 500}
     for t in (f"{DE} twice", None):
         assert sum(n for r, n in out.items() if r.doc_id == 500 and r.text == t) == own[len((t or "").split())]
+
+
+def test_dedup_of_repeated_rows_and_rows_without_id(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    near = long + " more"
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(5, long, "en")] * 3 + [(None, long, "en")] * 2 + [(None, near, "en"), (7, near, "en")]
+    rows += [(None, other, "en")] * 3 + [(None, other + " end", "en"), (9, "alone here", "en"), (9, "something else", "en"), (None, None, "en"), (None, None, "en"), (11, "", "en"), (12, "", "en")]
+    out = Counter((r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, frame(spark, rows), "").collect())
+    kept = [t for i, t in out.elements() if i is None and t and t.startswith("other")]
+    assert len(kept) == 1
+    out.subtract([(None, kept[0])])
+    assert +out == Counter([(5, long), (9, "alone here"), (9, "something else"), (None, None), (11, ""), (12, "")])

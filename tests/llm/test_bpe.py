@@ -34,3 +34,24 @@ def test_documents(spark):
         assert got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_merging_side_by_side_gives_what_one_by_one_gives():
+    enc, rng = reference(), np.random.default_rng(5)
+    ranks = bpe.Ranks(open(PATH, "rb").read(), P.PATTERN)
+    tokens = [t for t in ranks.rank if len(t) > 1]
+    pieces = {bytes(rng.integers(97, 103, n).astype(np.uint8)) for n in rng.integers(2, 34, 2000)} | {(tokens[a] + tokens[b])[:33] for a, b in rng.integers(0, len(tokens), (2000, 2))}
+    for width in (1, 2, 4, 8, 16, 32):
+        some = sorted(p for p in pieces if len(p) >= 2 and 1 << (len(p) - 2).bit_length() == width and p not in ranks.rank)
+        for p, ids in zip(some, ranks.merge_many(some, width) if some else [], strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == ranks.merge(p) == enc._core_bpe.encode_single_piece(p)
+
+
+def test_generations_forget_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    enc, rng = reference(), np.random.default_rng(6)
+    ranks = bpe.Ranks(open(PATH, "rb").read(), P.PATTERN)
+    texts = ["".join(chr(c) for c in rng.choice([32, 97, 98, 233, 20013, 49], rng.integers(0, 300))) + "q" * int(rng.integers(0, 90)) for _ in range(300)]
+    for i in range(0, 300, 30):
+        got = ranks.encode_all(texts[i : i + 30])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [enc.encode_ordinary(t) for t in texts[i : i + 30]]

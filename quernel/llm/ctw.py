@@ -6,22 +6,23 @@ its longer contexts, bottom up, in the log domain:  Pw = 1/2 Pkt + 1/2 prod Pw(l
 every context its predictive estimate and the posterior weight of stopping there; a text's probability mixes them from
 the empty context down to the longest one that training saw. Texts are A-Z lower-cased and close with an end mark.
 
-Training counts all (depth + 1)-grams of all training texts, in each task first, then by a shuffle that grows with the
-input. No node is dropped or approximated for size: distinct grams to score meet the training grams by their NEAR next
-bytes in a shuffle, where a task builds all contexts of NEAR bytes or more and scores by them. What is broadcast is bounded: the
-contexts shorter than NEAR, the commonest grams with their scores, and the commonest words for the base score.
+Training counts all (depth + 1)-grams and words of all training texts, in each task first, then by a shuffle that grows
+with the input. No node is dropped or approximated for size: grams are dealt into buckets by their NEAR next bytes, and
+whatever a text asks for meets its bucket's training grams in a shuffle, where a task builds all contexts of NEAR bytes
+or more and scores by them. What is broadcast is bounded: the contexts shorter than NEAR, the commonest grams with their
+scores, and the commonest words for the base score. Grams and words travel as packed blobs of a bucket's sorted keys.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -29,17 +30,20 @@ from .common import U64
 
 #: The end mark and the bytes before a text; it stands in no UTF-8 text.
 EDGE = 0xFF
-#: Distinct grams and words that a task gathers before it passes them on.
-GATHERED = 1_000_000
-#: Commonest words that are broadcast; the others meet their counts in a join.
-HOT_WORDS = 1 << 16
-#: Commonest training grams whose scores are broadcast (16 bytes each); the others meet theirs in a join.
-HOT_GRAMS = 1 << 20
+#: Grams that are sorted at once; distinct grams or words, or asked pairs, that a task gathers before it passes them on.
+SORTED, GATHERED = 1 << 22, 3 << 20
+#: Commonest words that are broadcast; the others meet their counts in a shuffle.
+HOT_WORDS = 1 << 18
+#: Commonest training grams whose scores are broadcast (16 bytes each); the others meet theirs in a shuffle.
+HOT_GRAMS = 1 << 21
 #: Bytes next to the coded one by which grams meet in a task.
 NEAR = 3
-
 #: Fractions of a natural log in which sums of logs pass through a shuffle.
 FIXED = 1 << 20
+#: Kinds of rows: grams, words, numbers of texts, scored texts.
+GRAM, WORD, TEXTS, SCORED = 0, 1, 2, 3
+#: Classes of counts, eight to a doubling.
+CLASSES = 8 * 48
 
 _BITS = np.arange(7, -1, -1)
 
@@ -63,63 +67,183 @@ def choices(code: np.ndarray) -> np.ndarray:
     return ((code & U64(255)).astype(np.int64)[:, None] >> _BITS[None]) & 1
 
 
+def near_bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    return (C.mix(code >> U64(8) & U64((1 << 8 * NEAR) - 1)) % U64(buckets)).astype(np.int64)
+
+
+def word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (word % U64(buckets)).astype(np.int64)
+
+
+# ---------------------------------------------------------------- packed columns
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values in sorted keys begin."""
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def pack(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted keys (as differences) and further columns as bytes, byte planes apart, so that high zero bytes vanish in compression."""
+    out = [np.array([len(keys)], "<u8").tobytes()]
+    for x in (np.diff(keys, prepend=U64(0)), *(m.astype(U64) for m in more)):
+        low = x.min() if len(x) else U64(0)
+        x = x - low
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        out += [np.array([low, width], "<u8").tobytes(), x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(out)
+
+
+def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    (n,), at, out = np.frombuffer(blob, "<u8", 1).tolist(), 8, []
+    for _ in range(columns):
+        low, width = np.frombuffer(blob, "<u8", 2, at)
+        x = np.zeros((n, 8), np.uint8)
+        x[:, : int(width)] = np.frombuffer(blob, np.uint8, n * int(width), at + 16).reshape(int(width), n).T
+        out.append(x.view("<u8").reshape(-1) + low)
+        at += 16 + n * int(width)
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Columns by bucket; their order within a bucket stays."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    cuts = np.append(_starts(bucket), len(bucket)).tolist()
+    for i, j in itertools.pairwise(cuts):
+        yield int(bucket[i]), [c[i:j] for c in columns]
+
+
+def _grouped_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[tuple]]]:
+    """Rows (kind, bucket, ...) of a sorted partition, by kind and bucket."""
+    rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True))
+    return itertools.groupby(rows, key=lambda r: (r[0], r[1]))
+
+
 class _Counts:
-    """Keys with counts, merged now and then."""
+    """Distinct keys with counts, merged when many have gathered."""
 
     def __init__(self) -> None:
+        self.raw: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts))
+        self.raw_size = self.size = 0
+
+    def see(self, keys: np.ndarray) -> None:
+        """Keys that may repeat."""
+        self.raw.append(keys)
+        self.raw_size += len(keys)
+        if self.raw_size >= SORTED:
+            self.sort()
+
+    def sort(self) -> None:
+        if self.raw:
+            keys = np.concatenate(self.raw)
+            self.raw, self.raw_size = [], 0
+            keys.sort()
+            first = _starts(keys)
+            self.add(keys[first], np.diff(np.append(first, len(keys))))
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct keys with their counts."""
+        self.parts.append((keys, counts.astype(np.int64)))
         self.size += len(keys)
-        if self.size > GATHERED // 2 and len(self.parts) > 1:
+        if self.size > GATHERED and len(self.parts) > 1:
             self.merge()
 
-    def merge(self) -> None:
-        keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        self.parts = [(keys[first], np.add.reduceat(counts, first))] if len(keys) else []
-        self.size = len(first)
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys in order, with counts."""
+        self.sort()
+        if len(self.parts) != 1:
+            keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, U64), np.zeros(0, np.int64))
+            self.parts = [_grouped(keys, counts)]
+            self.size = len(self.parts[0][0])
+        return self.parts[0]
 
-    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.parts:
-            self.merge()
-            yield from self.parts
-        self.parts, self.size = [], 0
+    def full(self) -> bool:
+        return self.size > GATHERED // 2
+
+
+def count_class(c: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(np.maximum(c, 1)) * 8), CLASSES - 1).astype(np.int64)
+
+
+def _buckets(df: DataFrame) -> int:
+    """As many buckets as a shuffle has partitions, so that each partition holds one."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _packed(kind: int, blobs: Iterator[tuple[int, bytes]], limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array, pa.Array, pa.Array]]:
+    """Columns kind, bucket and blob, and their length, in batches of up to limit bytes or one blob."""
+    got, size = [], 0
+    for x in itertools.chain(blobs, [None]):
+        if got and (x is None or size + len(x[1]) > limit):
+            yield len(got), pa.array([kind] * len(got), pa.int32()), pa.array([b for b, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())
+            got, size = [], 0
+        if x is not None:
+            got.append(x)
+            size += len(x[1])
 
 
 def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, c): counts of grams (kind 0), words (1) and texts (2) of all rows of texts (text)."""
+    """(kind, bucket, n, c, classes, blob): of each bucket of grams and of words of all rows of texts (text), the number of
+    distinct ones, the sum of their counts, how many fall into each class of counts, and the keys and counts; the number of texts as c of kind TEXTS."""
+    buckets = _buckets(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, texts = {0: _Counts(), 1: _Counts()}, 0
+        kept, texts = {GRAM: _Counts(), WORD: _Counts()}, 0
+        deal = {GRAM: near_bucket, WORD: word_bucket}
 
         def rows(kind: int) -> Iterator[pa.RecordBatch]:
-            for keys, counts in kept[kind].take():
-                for i in range(0, len(keys), 500_000):
-                    k = keys[i : i + 500_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(counts[i : i + 500_000])], ["kind", "key", "c"])
+            keys, counts = kept[kind].merge()
+            kept[kind] = _Counts()
+            for n, k, b, blob in _packed(kind, ((b, pack(*x)) for b, x in _dealt(deal[kind](keys, buckets), keys, counts))):
+                yield pa.RecordBatch.from_arrays([k, b, pa.array(np.zeros(n, np.int64)), blob], ["kind", "bucket", "c", "blob"])
 
         for batch in batches:
-            for i, j, raw, off in C.text_chunks(batch.column(0), 2 << 20):
+            for i, j, raw, off in C.text_chunks(batch.column(0), 1 << 20):
                 raw = C.LOWER[raw]
-                kept[0].add(grams(raw, off, depth)[0])
+                kept[GRAM].see(grams(raw, off, depth)[0])
                 start, end, _ = C.spans(raw, off)
-                kept[1].add(C.span_hashes(C.prefix_sums(raw), start, end))
+                kept[WORD].see(C.span_hashes(C.prefix_sums(raw), start, end))
                 texts += j - i
-            for kind in kept:
-                if kept[kind].size > GATHERED:
-                    yield from rows(kind)
+                for kind, c in kept.items():
+                    if c.full() and len(c.merge()[0]) > GATHERED // 2:
+                        yield from rows(kind)
         for kind in kept:
             yield from rows(kind)
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["kind", "key", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int32()), pa.array([0], pa.int32()), pa.array([texts], pa.int64()), pa.array([b""], pa.binary())], ["kind", "bucket", "c", "blob"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, bucket), rows in _grouped_rows(batches):
+            every, c = _Counts(), 0
+            for _, _, texts, blob in rows:
+                c += texts
+                if blob:
+                    every.add(*unpack(blob, 2))
+            keys, counts = every.merge()
+            classes = np.bincount(count_class(counts), minlength=CLASSES) if len(keys) else np.zeros(CLASSES, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([c + int(counts.sum())], pa.int64()), pa.array([classes.tolist()], pa.list_(pa.int64())), pa.array([pack(keys, counts)], pa.binary())], ["kind", "bucket", "n", "c", "classes", "blob"])
+
+    rows = texts.mapInArrow(run, "kind int, bucket int, c long, blob binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind", "bucket")
+    return rows.mapInArrow(merged, "kind int, bucket int, n long, c long, classes array<long>, blob binary")
+
+
+def least_class(counts: DataFrame, kind: int, limit: int) -> int:
+    """The smallest class of counts whose keys and all commoner ones are at most limit."""
+    rows = counts.where(F.col("kind") == kind).select(F.posexplode("classes").alias("k", "n")).where("n > 0").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out, total = CLASSES, 0
+    for r in sorted(rows, key=lambda r: -r.k):
+        total += r.n
+        if total > limit:
+            break
+        out = r.k
+    return out
 
-    return texts.mapInArrow(run, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+
+# ---------------------------------------------------------------- the context tree
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -131,19 +255,30 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(down)
 
 
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
+def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = a.astype(float), b.astype(float)
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
 
 
+_SMALL = 128
+_KT = _log_kt(*np.divmod(np.arange(_SMALL * _SMALL), _SMALL))
+
+
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of a zeros and b ones; of small counts from a table."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    small = (a < _SMALL) & (b < _SMALL)
+    out = _KT[np.where(small, a * _SMALL + b, 0)]
+    out[~small] = _log_kt(a[~small], b[~small])
+    return out
+
+
 def _grouped(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, the place of each row's key among them, and sums by key."""
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-    back = np.empty(len(key), np.int64)
-    back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-    return key[order][first], back, *(np.add.reduceat(s[order], first) for s in sums)
+    """Distinct keys in order, and sums by key."""
+    order = np.argsort(key)
+    key = key[order]
+    first = _starts(key)
+    return key[first], *(np.add.reduceat(s[order], first) if len(first) else s for s in sums)
 
 
 def _weigh(kt: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,55 +297,18 @@ def _levels(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[list[tuple
     """From all training grams of some NEAR-byte contexts: their nodes (d, key, zeros, ones, stopping weight) by context
     length, longest first, and what they add to nodes of NEAR - 1 bytes (key, zeros, ones, log of the product of longer ones)."""
     n, bit = np.repeat(count, 8), choices(code).reshape(-1)
-    key, _, a, b = _grouped(_nodes(code), n * (1 - bit), n * bit)
+    key, a, b = _grouped(_nodes(code), n * (1 - bit), n * bit)
     pw, stop, levels = log_kt(a, b), np.ones(len(key)), []
     for d in range(depth, NEAR - 1, -1):
         levels.append((d, key, a, b, stop))
-        key, _, a, b, longer = _grouped(key & U64((1 << (8 * d)) - 1), a, b, pw)  # without the farthest byte
+        key, a, b, longer = _grouped(key & U64((1 << (8 * d)) - 1), a, b, pw)  # without the farthest byte
         if d > NEAR:
             pw, stop = _weigh(log_kt(a, b), longer)
     return levels, (key, a, b, longer)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """A partition's columns (the first holds grams), in runs of whole NEAR-byte contexts, about 100,000 grams each."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    columns = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(got[0].num_columns)]
-    columns[0] = columns[0].view(U64)
-    near = (columns[0] >> U64(8)) & U64((1 << 8 * NEAR) - 1)
-    order = np.argsort(near, kind="stable")
-    columns, near = [x[order] for x in columns], near[order]
-    cuts = np.concatenate(([0], np.flatnonzero(near[1:] != near[:-1]) + 1, [len(near)]))
-    i = 0
-    while i + 1 < len(cuts):
-        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + 100_000, side="right")) - 1)
-        yield [x[cuts[i] : cuts[j]] for x in columns]
-        i = j
-
-
-def _by_context(grams: DataFrame) -> DataFrame:
-    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return grams.repartition(parts, F.shiftright("key", 8).bitwiseAND((1 << 8 * NEAR) - 1))
-
-
-def context_tree(gram_counts: DataFrame, depth: int, slot_bits: int | None = None, short: bool = False) -> DataFrame:
-    """(d, key, zeros, ones, stop): all nodes of contexts of NEAR bytes or more (none if short), and for d = NEAR - 1 the parts
-    that its nodes are summed from, with the log of the product of longer ones, in 1/FIXED, as stop. slot_bits is not used any more.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, count in _contexts(batches):
-            levels, (key, a, b, longer) = _levels(code, count, depth)
-            for d, *columns in [*([] if short else levels), (NEAR - 1, key, a, b, np.round(longer * FIXED))]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), d, np.int32)), pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["d", "key", "zeros", "ones", "stop"])
-
-    return _by_context(gram_counts).mapInArrow(run, "d int, key long, zeros long, ones long, stop double")
-
-
 class Tables:
-    """Nodes by context length: sorted keys, counts, estimates of a one, stopping weights."""
+    """Nodes by context length: sorted keys, estimates of a one, stopping weights."""
 
     def __init__(self, depth: int) -> None:
         empty = (np.zeros(0, U64), np.zeros(0), np.zeros(0))
@@ -219,27 +317,41 @@ class Tables:
     def put(self, d: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> None:
         self.levels[d] = key, (b + 0.5) / (a + b + 1), stop
 
+    def put_long(self, code: np.ndarray, count: np.ndarray) -> None:
+        """The nodes of contexts of NEAR bytes or more of some buckets' training grams."""
+        for d in range(NEAR, self.depth + 1):
+            self.put(d, *(np.zeros(0, t) for t in (U64, int, int, float)))
+        for level in _levels(code, count, self.depth)[0] if len(code) else ():
+            self.put(*level)
+
     @classmethod
-    def gather(cls, tree: DataFrame, depth: int, slot_bits: int | None = None) -> Tables:
-        """Brings a tree's nodes to the driver; those of contexts shorter than NEAR are at most 2^(8 NEAR), whatever the corpus."""
-        out = cls(depth)
-        found = tree.groupBy("d", "key").agg(F.sum("zeros").alias("a"), F.sum("ones").alias("b"), F.sum("stop").alias("stop")).toArrow()
-        d, key, a, b, stop = (found.column(k).to_numpy() for k in range(5))
-        key = key.view(U64)
-        order = np.argsort(key)
-        d, key, a, b, stop = (x[order] for x in (d, key, a, b, stop))
-        for k in range(NEAR, depth + 1):
-            out.put(k, key[d == k], a[d == k], b[d == k], stop[d == k])
-        at = d == NEAR - 1
-        key, a, b, longer = key[at], a[at], b[at], stop[at] / FIXED
-        for k in range(NEAR - 1, -1, -1) if len(key) else ():
+    def short(cls, counts: DataFrame, depth: int) -> Tables:
+        """The nodes of contexts shorter than NEAR, at most 2^(8 NEAR) whatever the corpus, summed in the driver from those of NEAR - 1 bytes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column(0):
+                    code, count = unpack(blob.as_py(), 2)
+                    if len(code):
+                        key, a, b, longer = _levels(code, count.astype(np.int64), depth)[1]
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(a), pa.array(b), pa.array(np.round(longer * FIXED))], ["key", "zeros", "ones", "longer"])
+
+        nodes = counts.where(F.col("kind") == GRAM).select("blob").mapInArrow(run, "key long, zeros long, ones long, longer double")
+        found = nodes.groupBy("key").agg(F.sum("zeros").alias("a"), F.sum("ones").alias("b"), F.sum("longer").alias("longer")).toArrow()
+        key, a, b, longer = (found.column(k).to_numpy() for k in range(4))
+        order, out = np.argsort(key.view(U64)), cls(depth)
+        key, a, b, longer = key.view(U64)[order], a[order], b[order], longer[order] / FIXED
+        for d in range(NEAR - 1, -1, -1) if len(key) else ():
             pw, stop = _weigh(log_kt(a, b), longer)
-            out.put(k, key, a, b, stop)
-            key, _, a, b, longer = _grouped(key & U64((1 << (8 * k)) - 1), a, b, pw)
+            out.put(d, key, a, b, stop)
+            key, a, b, longer = _grouped(key & U64((1 << (8 * d)) - 1), a, b, pw)
         return out
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the others."""
+        return np.concatenate([self._log10(code[k : k + 50_000]) for k in range(0, len(code), 50_000)]) if len(code) else np.zeros(0)
+
+    def _log10(self, code: np.ndarray) -> np.ndarray:
         bit, nodes = choices(code).reshape(-1), _nodes(code)
         left, mixed = np.ones(len(bit)), np.zeros(len(bit))
         last, live = np.full(len(bit), 0.5), np.ones(len(bit), bool)
@@ -259,42 +371,139 @@ class Tables:
         return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
 
 
-def gram_scores(grams: DataFrame, short: Tables) -> DataFrame:
-    """(key, log): log10 of the asked grams of grams (key, c, asked), of which those with c > 0 are the training grams."""
-    depth = short.depth
-    sent = grams.sparkSession.sparkContext.broadcast(short.levels)
+def common_grams(counts: DataFrame, short: Tables, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training grams of a class of counts of at least least, in order, and their logs."""
+    sent = counts.sparkSession.sparkContext.broadcast(short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(depth)
-        for code, count, asked in _contexts(batches):
-            code_asked = np.sort(code[asked])
-            if not len(code_asked):
-                continue
-            tables.levels = {d: sent.value[d] for d in range(depth + 1)}
-            known = count > 0
-            for level in _levels(code[known], count[known], depth)[0] if known.any() else ():
-                tables.put(*level)
-            for k in range(0, len(code_asked), 50_000):
-                some = code_asked[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(tables.log10(some))], ["key", "log"])
-
-    return _by_context(grams).mapInArrow(run, "key long, log double")
-
-
-def hot_count(gram_counts: DataFrame) -> int:
-    """The smallest power-of-2^(1/8) class of counts whose grams and all commoner ones are at most HOT_GRAMS."""
-    sizes = gram_counts.groupBy(count_class().alias("k")).count().collect()
-    out, total = max([r.k for r in sizes], default=0) + 1, 0
-    for r in sorted(sizes, key=lambda r: -r.k):
-        total += r["count"]
-        if total > HOT_GRAMS:
-            break
-        out = r.k
-    return out
+        tables = sent.value
+        for batch in batches:
+            for blob in batch.column(0):
+                code, count = unpack(blob.as_py(), 2)
+                asked = code[count_class(count) >= least]
+                if len(asked):
+                    tables.put_long(code, count.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(tables.log10(asked))], ["key", "log"])
+
+    got = counts.where(F.col("kind") == GRAM).select("blob").mapInArrow(run, "key long, log double").toArrow()
+    return _ordered(got.column(0).to_numpy().view(U64), got.column(1).to_numpy())
+
+
+def common_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training words of a class of counts of at least least, in order, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                word, count = unpack(blob.as_py(), 2)
+                keep = count_class(count) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(count[keep].view(np.int64))], ["key", "c"])
+
+    got = counts.where(F.col("kind") == WORD).select("blob").mapInArrow(run, "key long, c long").toArrow()
+    return _ordered(got.column(0).to_numpy().view(U64), got.column(1).to_numpy())
+
+
+def _ordered(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
-def count_class() -> Column:
-    return F.floor(F.log2("c") * 8)
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of asked among sorted keys, and whether they stand there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return place, keys[place] == asked
+
+
+class _Sums:
+    """Known words, base score and score, added up by row."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, row: np.ndarray, known: np.ndarray, base: np.ndarray, log: np.ndarray) -> None:
+        self.parts.append(_grouped(row, known, base, log))
+        self.size += len(self.parts[-1][0])
+
+    def take(self) -> tuple[np.ndarray, ...] | None:
+        """All rows in order, with their sums."""
+        if not self.parts:
+            return None
+        columns = _grouped(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        self.parts, self.size = [], 0
+        return columns
+
+
+def asked_scores(counts: DataFrame, asked: DataFrame, short: Tables, alpha: float, floor: float) -> DataFrame:
+    """(row, known, base, log): sums over a row's asked words and grams, which asked (kind, bucket, blob) packs with rows and times.
+
+    A task's sums go on as blobs by a hash of the row, so that neither shuffle holds a record for each gram or text."""
+    buckets = _buckets(counts)
+    sent = counts.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, sums = sent.value, _Sums()
+
+        def score(kind: int, keys: np.ndarray, counts: np.ndarray, pairs: list) -> None:
+            key, row, times = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.argsort(key)
+            key, row, times = key[order], row[order], times[order].astype(np.int64)
+            first = _starts(key)
+            many = np.diff(np.append(first, len(key)))
+            if kind == GRAM:
+                log = np.repeat(tables.log10(key[first]), many)
+                sums.add(row, np.zeros(len(row), np.int64), np.zeros(len(row)), log * times)
+            else:
+                place, hit = _found(keys, key[first])
+                c = np.where(hit, counts[place] if len(counts) else 0, 0)
+                sums.add(row, np.repeat(hit, many) * times, np.repeat(np.log10((c + alpha) / floor), many) * times, np.zeros(len(row)))
+
+        for (kind, _), rows in _grouped_rows(batches):
+            keys, own, pairs, size, built = np.zeros(0, U64), np.zeros(0, np.int64), [], 0, kind != GRAM
+            for _, _, is_asked, blob in rows:
+                if not is_asked:  # comes first
+                    keys, own = unpack(blob, 2)
+                    own = own.astype(np.int64)
+                    continue
+                if not built:
+                    tables.put_long(keys, own)
+                    built = True
+                pairs.append(unpack(blob, 3))
+                size += len(pairs[-1][0])
+                if size > GATHERED:
+                    score(kind, keys, own, pairs)
+                    pairs, size = [], 0
+            if pairs:
+                score(kind, keys, own, pairs)
+            if sums.size > GATHERED:
+                yield from out(sums)
+        yield from out(sums)
+
+    def out(sums: _Sums) -> Iterator[pa.RecordBatch]:
+        if (columns := sums.take()) is not None:
+            row, known, base, log = columns
+            deal = _dealt((C.mix(row) % U64(buckets)).astype(np.int64), row, known, base.view(U64), log.view(U64))
+            for _, _, b, blob in _packed(0, ((b, pack(*x)) for b, x in deal)):
+                yield pa.RecordBatch.from_arrays([b, blob], ["bucket", "blob"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for batch in batches:
+            for blob in batch.column(1):
+                row, known, base, log = unpack(blob.as_py(), 4)
+                sums.add(row, known.astype(np.int64), base.view(np.float64), log.view(np.float64))
+                if sums.size > GATHERED:
+                    sums.add(*sums.take())
+        if (columns := sums.take()) is not None:
+            for k in range(0, len(columns[0]), 100_000):
+                row, *more = (c[k : k + 100_000] for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(row.view(np.int64)), *map(pa.array, more)], ["row", "more_known", "more_base", "more_score"])
+
+    rows = counts.where(F.col("kind") != TEXTS).select("kind", "bucket", F.lit(False).alias("asked"), "blob").union(asked.select("kind", "bucket", F.lit(True), "blob"))
+    rows = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind", "bucket", "asked").mapInArrow(run, "bucket int, blob binary")
+    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(total, "row long, more_known long, more_base double, more_score double")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, depth: int = 6, alpha: float = 0.1) -> DataFrame:
@@ -303,68 +512,76 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows whose id's crc32 modulo folds is held (and rows without an id) are scored only; all others are learned from too. score is the
     model's log10 probability of the lower-cased text and its end; bits_per_byte is the code length. base_score is that of single words and one
     end per text, with alpha added to counts. Words are told apart by a 64-bit hash. A null text is empty; repeated
-    rows count and are scored each; an empty table gives an empty result; other columns aren't read.
+    rows count and are scored each; an empty table gives an empty result; other columns aren't read. depth is at most 6.
     """
+    if not NEAR <= depth <= 6:
+        raise ValueError(f"depth must be from {NEAR} to 6")
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(C.fold("doc_id", folds) == held, F.lit(True))
     counts = C.stored(corpus_counts(texts.where(~held_out).select("text"), depth), "counts")
-    words = counts.where("kind = 1").select(F.col("key").alias("word"), "c")
-    known = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    ends = counts.where("kind = 2").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    totals = {r.kind: (r.n, r.c) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()}
+    known, ends = totals.get(WORD, (0, 0)), totals.get(TEXTS, (0, 0))[1]
     total, distinct = known[1] + ends, known[0] + (ends > 0)
     floor = total + alpha * (distinct + 1)
-    trained = counts.where("kind = 0").select("key", "c")
-    short = Tables.gather(context_tree(trained, depth, short=True), depth)
-    common = gram_scores(trained.select("key", "c", (count_class() >= hot_count(trained)).alias("asked")), short).toArrow()
-    hot_grams, hot_logs = common.column(0).to_numpy().view(U64), common.column(1).to_numpy()
-    order = np.argsort(hot_grams)
-    hot_grams, hot_logs = hot_grams[order], hot_logs[order]
-    hot = words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toPandas()
-    hot_keys = hot["word"].to_numpy(np.int64).view(U64)
-    order = np.argsort(hot_keys)
-    hot_keys, hot_counts = hot_keys[order], hot["c"].to_numpy(np.int64)[order]
-    sent = docs.sparkSession.sparkContext.broadcast((hot_grams, hot_logs, hot_keys, hot_counts))
+    short = Tables.short(counts, depth)
+    hot = (*common_grams(counts, short, least_class(counts, GRAM, HOT_GRAMS)), *common_words(counts, least_class(counts, WORD, HOT_WORDS)))
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
     end_log = math.log10((ends + alpha) / floor)
+    buckets = _buckets(docs)
+    names = ["kind", "bucket", "row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, code_logs, keys, values = sent.value
         logs = np.log10((values + alpha) / floor)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        asked: dict[int, list] = {GRAM: [], WORD: []}
+        deal, id_type = {GRAM: near_bucket, WORD: word_bucket}, None
+
+        def blobs(kind: int, least: int = 0) -> Iterator[pa.RecordBatch]:
+            if sum(len(x[0]) for x in asked[kind]) <= least:
+                return
+            key, of, times = (np.concatenate(x) for x in zip(*asked[kind], strict=True))
+            asked[kind] = []
+            order = np.argsort(key)
+            key, of, times = key[order], of[order], times[order]
+            for n, k, b, blob in _packed(kind, ((b, pack(*x)) for b, x in _dealt(deal[kind](key, buckets), key, of, times))):
+                blank = [pa.nulls(n, t) for t in (pa.int64(), id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([k, b, *blank, blob], names)
+
         for batch in batches:
-            for i, j, raw, off in C.text_chunks(batch.column(1), 1 << 20):
+            id_type = batch.column(0).type
+            for i, j, raw, off in itertools.chain.from_iterable(_few(x) for x in C.text_chunks(batch.column(1), 1 << 20)):
                 n, raw = j - i, C.LOWER[raw]
                 code, of = grams(raw, off, depth)
-                some, back = np.unique(code, return_inverse=True)
-                place = np.minimum(np.searchsorted(codes, some), max(len(codes) - 1, 0))
-                hit = codes[place] == some if len(codes) else np.zeros(len(some), bool)
-                score = np.bincount(of, np.where(hit, code_logs[place], 0.0)[back], n) if hit.any() else np.zeros(n)
-                far = ~hit[back]
-                pair, times = np.unique(of[far] * len(some) + back[far], return_counts=True)
-                far_bound = pa.array(C.row_bounds(pair // max(len(some), 1), n), pa.int32())
-                far_grams = pa.ListArray.from_arrays(far_bound, pa.array(some[pair % max(len(some), 1)].view(np.int64)))
-                times = pa.ListArray.from_arrays(far_bound, pa.array(times))
+                pair = code << U64(8) | of.astype(U64)  # at most 256 texts
+                pair.sort()
+                first = _starts(pair)
+                times, pair = np.diff(np.append(first, len(pair))), pair[first]
+                code, of = pair >> U64(8), (pair & U64(255)).astype(np.int64)
+                first = _starts(code)
+                place, hit = _found(codes, code[first])
+                many = np.diff(np.append(first, len(code)))
+                log = np.repeat(np.where(hit, code_logs[place], 0.0) if len(codes) else np.zeros(len(first)), many)
+                score, far = np.bincount(of, log * times, n), ~np.repeat(hit, many)
+                asked[GRAM].append((code[far], (row + of[far]).astype(U64), times[far]))
                 start, end, doc = C.spans(raw, off)
                 word = C.span_hashes(C.prefix_sums(raw), start, end)
-                place = np.minimum(np.searchsorted(keys, word), max(len(keys) - 1, 0))
-                hit = keys[place] == word if len(keys) else np.zeros(len(word), bool)
+                place, hit = _found(keys, word)
                 base = np.bincount(doc[hit], logs[place[hit]], n) + end_log
                 seen = np.bincount(doc[hit], minlength=n) + (ends > 0)
-                bound = C.row_bounds(doc[~hit], n)
-                cold = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(word[~hit].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(i, n), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(seen), pa.array(base), pa.array(score), pa.array(np.diff(off)), cold, far_grams, times], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "cold", "grams", "times"])
+                asked[WORD].append((word[~hit], (row + doc[~hit]).astype(U64), np.ones((~hit).sum(), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, SCORED, np.int32)), pa.nulls(n, pa.int32()), pa.array(row + np.arange(n)), batch.column(0).slice(i, n), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(seen), pa.array(base), pa.array(score), pa.array(np.diff(off)), pa.nulls(n, pa.binary())], names)
                 row += n
-
-    rows = C.stored(texts.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, bytes long, cold array<long>, grams array<long>, times array<long>"), "scored")
+                for k in asked:
+                    yield from blobs(k, GATHERED)
+        for k in asked:
+            yield from blobs(k)
+
+    every = C.stored(texts.mapInArrow(run, f"kind int, bucket int, row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, bytes long, blob binary"), "scored")
+    more = asked_scores(counts, every.where(F.col("kind") != SCORED).select("kind", "bucket", "blob"), short, alpha, floor)
+    out = every.where(F.col("kind") == SCORED).drop("kind", "bucket", "blob").join(more, "row", "left")
     zero = F.lit(0)
-    rare = rows.select("row", F.explode("cold").alias("word")).join(words, "word", "left")
-    rare = rare.select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((F.coalesce("c", zero) + alpha) / F.lit(float(floor))).alias("base"), F.lit(0.0).alias("log"))
-    asked = rows.select(F.explode("grams").alias("key")).distinct()
-    asked = trained.select("key", "c", F.lit(False).alias("asked")).union(asked.select("key", F.lit(0).cast("long"), F.lit(True)))
-    far = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.times").alias("times"))
-    far = far.join(gram_scores(asked, short), "key").select("row", F.lit(0).cast("long"), F.lit(0.0), F.col("times") * F.col("log"))
-    rare = rare.union(far).groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("log").alias("more_score"))
-    out = rows.drop("cold", "grams", "times").join(rare, "row", "left")
     score = F.col("score") + F.coalesce("more_score", zero)
     return out.select(
         "doc_id",
@@ -376,3 +593,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         score.alias("score"),
         (-score * math.log2(10) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
+
+
+def _few(chunk: tuple, most: int = 256) -> Iterator[tuple]:
+    """A chunk of texts in runs of at most so many."""
+    i, j, raw, off = chunk
+    for a in range(i, j, most):
+        b = min(a + most, j)
+        yield a, b, raw[off[a - i] : off[b - i]], off[a - i : b - i + 1] - off[a - i]

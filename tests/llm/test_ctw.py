@@ -68,11 +68,19 @@ def split(rows):
     return [t for (_, t), h in zip(rows, held, strict=True) if not h]
 
 
+def whole(counts, depth):
+    """All nodes, from the counts of all buckets."""
+    model = ctw.Tables.short(counts, depth)
+    parts = [ctw.unpack(bytes(r.blob), 2) for r in counts.where("kind = 0").collect()]
+    model.put_long(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+    return model
+
+
 def test_no_node_is_evicted(spark):
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 40)) for _ in range(200)] * 2
     counts = ctw.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"), 5)
-    model = ctw.Tables.gather(ctw.context_tree(counts.where("kind = 0").select("key", "c"), 5, 10), 5, 10)
+    model = whole(counts, 5)
     log10 = brute(texts, 5)
     for t in [*texts[:5], "abc abc", ""]:
         raw = np.frombuffer(t.encode(), np.uint8)
@@ -111,3 +119,25 @@ def test_nodes_seen_once_are_kept(spark):
     got = {r.doc_id: r.score for r in ctw.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         assert got[i] == pytest.approx(log10(t), rel=1e-5)
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 3000):
+        key = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        more = rng.integers(1 << 40, (1 << 40) + 70_000, n), rng.integers(0, 3, n)
+        got = ctw.unpack(ctw.pack(key, *more), 3)
+        assert got[0].tolist() == key.tolist() and [g.tolist() for g in got[1:]] == [m.tolist() for m in more]
+
+
+def test_small_gatherings_give_the_same(spark, monkeypatch):
+    rows = [*enumerate(sentences(150, 8) + ["", None, "x" * 700] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {r.doc_id: r for r in ctw.score_texts(docs).collect()}
+    for name, value in (("SORTED", 300), ("GATHERED", 400), ("HOT_GRAMS", 50), ("HOT_WORDS", 5)):
+        monkeypatch.setattr(ctw, name, value)
+    got = {r.doc_id: r for r in ctw.score_texts(docs).collect()}
+    assert len(got) == len(want) == len(rows)
+    for i, r in want.items():
+        assert (got[i].n_known, got[i].n_tokens, got[i].train_tokens) == (r.n_known, r.n_tokens, r.train_tokens)
+        assert got[i].score == pytest.approx(r.score, rel=1e-6) and got[i].base_score == pytest.approx(r.base_score, rel=1e-9)

@@ -13,26 +13,53 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at once; one longer text is taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows of a key table (8 to 24 bytes each) up to which it may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of one class from which on its rows are not shuffled by its key.
+HOT_ROWS = 10_000
 
 _local: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. A temporary one only where the session names none and runs in one process; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path or _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quernel-"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage is cut, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """The tables that stored has written in this process and that weren't released, in order."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes such tables. Results that still read them must have been written or collected."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if its counted rows are within the limit; otherwise left to a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
@@ -43,9 +70,19 @@ def fold(doc_id: str | Column, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % k
 
 
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """df by hash of an evenly spread key, over the session's shuffle partitions."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], many: str = "many", hot: int = HOT_ROWS) -> DataFrame:
+    """rows left-joined to their classes on keys, of which many says how many rows each holds. Classes of more than hot rows
+    are few, so their rows meet them in a broadcast (if their counted number allows) and don't land in one task; rows with a null key stay out of the shuffle."""
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    large = classes.where(F.col(many) > hot).drop(many)
+    n, rest, more = large.count(), classes.drop(many), [c for c in classes.columns if c not in (*keys, many)]
+    out = rows.where(f"NOT ({known})").select("*", *[F.lit(None).cast(dict(classes.dtypes)[c]).alias(c) for c in more])
+    rows = rows.where(known)
+    if 0 < n <= BROADCAST_ROWS:
+        out = out.unionByName(rows.join(F.broadcast(large), keys))
+        rows = rows.join(F.broadcast(large.select(keys)), keys, "left_anti")
+        rest = classes.where(F.col(many) <= hot).drop(many)
+    return out.unionByName(rows.join(rest, keys, "left"))
 
 
 # ---------------------------------------------------------------- text kernels
@@ -121,6 +158,8 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
             p = np.full(len(raw) + 1, b, U64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
+    elif len(raw) <= 2 * CHUNK_BYTES < len(_powers[0]) // 2:  # what one very long text needed isn't kept
+        _powers[:] = [p[: 2 * CHUNK_BYTES + 1].copy() for p in _powers]
     sums = np.zeros(len(raw) + 1, U64)
     np.cumsum(_BYTE_VALUES[raw] * _powers[0][: len(raw)], out=sums[1:])
     return sums

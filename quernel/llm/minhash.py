@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -106,26 +106,43 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
+#: Words of 64 bits of a set's bit map.
+MAP_WORDS = 16
+
+
+def bit_maps(items: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Texts x MAP_WORDS: a bit for each value of the items' top bits. Two sets differ in at least as many items as their maps in bits."""
+    n, bits = len(bound) - 1, 64 * MAP_WORDS
+    at = (items >> U64(64 - (bits.bit_length() - 1))).astype(np.int64) + np.repeat(np.arange(n), np.diff(bound)) * bits
+    flag = np.zeros(n * bits, np.uint8)
+    flag[at] = 1
+    return np.packbits(flag.reshape(-1, 8), axis=1).reshape(-1).view(np.int64).reshape(n, MAP_WORDS)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, items): the full sets of docs (id, text)."""
+    """(id, items, map): the full sets of docs (id, text), and their bit maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, off in C.text_chunks(batch.column(1)):
                 items, bound = shingle_hashes(raw, off, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(items.view(np.int64)))], ["id", "items"])
+                maps = pa.ListArray.from_arrays(pa.array(MAP_WORDS * np.arange(j - i + 1), pa.int32()), pa.array(bit_maps(items, bound).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(items.view(np.int64))), maps], ["id", "items", "map"])
 
-    return docs.mapInArrow(run, "id long, items array<long>")
+    return docs.mapInArrow(run, "id long, items array<long>, map array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Null and empty texts, and texts without a word, have empty sets and link with nothing; fewer words than the
-    width make one shingle of all of them. Rows that share an id also share its links. An empty table gives an empty result; other columns of docs are not read.
+    width make one shingle of all of them. Rows that share an id also share its links. Rows without an id belong to the component of
+    rows with an equal set, if one of these has an id, and link with nothing else; those of no component have a null component_id and are kept.
+    An empty table gives an empty result; other columns of docs are not read.
     """
     sigs = C.stored(signatures(docs, id_col, text_col, width, bands, rows), "sigs")
-    classes = C.stored(sigs.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = sigs.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), F.first("bands").alias("bands"))
+    classes = C.stored(classes.where("rep is not null"), "classes")
     posted = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = C.stored(posted.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("leader"), F.count("*").alias("members")).where("members > 1"), "buckets")
     members = C.stored(posted.join(buckets, "key"), "members")
@@ -134,32 +151,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = C.stored(shingle_sets(texts.join(C.small(ids, n_ids), texts["id"] == ids["rep"], "left_semi"), width), "sets")
 
+    def alike(x: str, y: str) -> Column:
+        """Whether the sets of two sides (items, map) are similar enough: first by their sizes, then by a lower bound of
+        the number of items that only one of them holds, then exactly."""
+        both_sizes = F.size(f"items_{x}") + F.size(f"items_{y}")
+        sizes = 100 * F.least(F.size(f"items_{x}"), F.size(f"items_{y}")) >= percent * F.greatest(F.size(f"items_{x}"), F.size(f"items_{y}"))
+        apart = sum((F.bit_count(F.get(f"map_{x}", F.lit(k)).bitwiseXOR(F.get(f"map_{y}", F.lit(k)))) for k in range(MAP_WORDS)), F.lit(0))
+        both = F.size(F.array_intersect(f"items_{x}", f"items_{y}"))
+        return sizes & ((100 + percent) * apart <= (100 - percent) * both_sizes) & (100 * both >= percent * (both_sizes - both))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose full sets are similar enough."""
         pairs = C.stored(pairs, "pairs")
-        one = sets.select(F.col("id").alias("y"), F.col("items").alias("of_y"))
-        two = sets.select(F.col("id").alias("x"), F.col("items").alias("of_x"))
-        both = F.size(F.array_intersect("of_x", "of_y"))
-        return pairs.join(one, "y").join(two, "x").where(100 * both >= percent * (F.size("of_x") + F.size("of_y") - both)).select("x", "y").distinct()
+        one, two = (sets.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}"), F.col("map").alias(f"map_{k}")) for k in "yx")
+        return pairs.join(one, "y").join(two, "x").where(alike("x", "y")).select("x", "y").distinct()
 
     stars = members.where("rep <> leader").select(F.least("leader", "rep").alias("x"), F.greatest("leader", "rep").alias("y")).distinct()
     links = C.stored(verified(stars), "links")
     comps = C.stored(C.components(links), "comps")
     # pairs across components, in buckets that still hold several
-    placed = members.where("members > 2").join(comps, members["rep"] == comps["node"], "left").select("key", "leader", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    placed = members.where("members > 2").join(comps, members["rep"] == comps["node"], "left").select("key", "leader", "rep", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    placed = placed.where("rep <> leader").join(split, "key", "left_semi").join(sets, F.col("rep") == sets["id"]).select("key", "rep", "n", "c", "items")
+    placed = placed.where("rep <> leader").join(split, "key", "left_semi").join(sets, F.col("rep") == sets["id"]).select("key", "rep", "c", "items", "map")
     placed = C.stored(placed, "placed")
     # compared inside the join, bucket by bucket: only links come out of it, and a skewed bucket can be split
-    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "c", "items")]) for side in "xy")
-    fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    both = F.size(F.array_intersect("items_x", "items_y"))
-    alike = 100 * both >= percent * (F.col("n_x") + F.col("n_y") - both)
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("c_x") != F.col("c_y")) & fits & alike)
+    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "c", "items", "map")]) for side in "xy")
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("c_x") != F.col("c_y")) & alike("x", "y"))
     more = C.stored(across.select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct(), "links")
     if not more.isEmpty():
         comps = C.stored(C.components(links.union(more)), "comps")
-    of_class = C.stored(classes.join(comps, classes["rep"] == comps["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "labels")
-    out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2", "n_shingles"], "left")
+    of_class = C.stored(classes.join(comps, classes["rep"] == comps["node"], "left").select("d1", "d2", "n_shingles", "many", F.coalesce("component", "rep").alias("component")), "labels")
+    keyed = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2")
+    out = C.with_class(keyed, of_class, ["d1", "d2", "n_shingles"])
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

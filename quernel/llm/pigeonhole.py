@@ -5,8 +5,8 @@ linked pair at least one block lies within its proportional share of that budget
 itself, and the union of candidates is verified exactly on the original vectors.
 
 A block's range join: a median tree, built from a bounded sample, cuts the block's space into leaves. A vector is at home
-in one leaf and visits later leaves that its ball reaches, by the sum of squared overshoots. A leaf's vectors are dealt into chunks,
-and each task joins two chunks; its size is bounded, whatever the skew, and it puts out counts per vector and a
+in one leaf and visits later leaves that its ball reaches, by the sum of squared overshoots. A leaf's vectors are dealt into chunks
+of bounded bytes, and each task joins two chunks; its size is bounded, whatever the skew, and it puts out counts per vector and a
 spanning forest, never pairs. A pair is counted in the first of its blocks that is within budget, and so once.
 Vectors with equal components are one class, whose size weighs in the counts, so exact copies cost one row.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import vectors as V
 
-#: Sampled vectors for the trees; rows of a chunk; sampled vectors that a leaf has at least.
-SAMPLE, CHUNK, LEAF_SAMPLE = 4096, 4096, 64
+#: Sampled vectors for the trees at most, and for each chunk's worth of rows; bytes of a chunk in double precision.
+SAMPLE, LEAF_SAMPLE, CHUNK_BYTES = 1 << 16, 64, 8 << 20
 #: Slack of squared distances against rounding.
 SLACK = 1e-9
 
@@ -81,37 +81,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
     n_links counts the other vectors with at least the given cosine, computed in double precision. Vectors that are
-    null, empty, zero or hold null, NaN or infinite components link with nothing. Ids are taken to be unique; equal
-    vectors are linked with one another. Vectors of different widths are an error; an empty table gives an empty
-    result; other columns are not read.
+    null, empty, zero or hold null, NaN or infinite components link with nothing, and so do those of another width than the
+    commonest (the smaller one of equally common ones). Every row is a vector of its own, also where rows share an id: equal vectors are linked with one another.
+    Rows without an id link with nothing and are kept. An empty table gives an empty result; other columns are not read.
     """
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(column).alias("v"))
+    vectors = vectors.withColumn("v", F.when(F.col("vec_id").isNotNull(), F.col("v")))
+    number = "float" if dict(vectors.dtypes)["v"] == "array<float>" else "double"  # components travel as they came
     width = V.width_of(vectors, "v")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = V.valid(b.column(1), width)
-            x = x + 0.0  # -0 counts as 0
-            keys = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(keys, pa.binary()), V.lists(x) if len(x) else pa.array([], pa.list_(pa.float64()))], ["vec_id", "key", "x"])
+            x = (x + 0.0).astype(number if number == "double" else np.float32)  # -0 counts as 0
+            keys, size = np.full(b.num_rows, None, object), np.zeros(b.num_rows, np.int64)
+            keys[rows], size[rows] = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x], width
+            bound = np.concatenate(([0], np.cumsum(size)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(x.reshape(-1)))], ["vec_id", "key", "x"])
 
-    ids = vectors.select("vec_id")
     if not width:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = C.stored(vectors.mapInArrow(keyed, "vec_id long, key binary, x array<double>"), "vectors")
-    classes = C.stored(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("x").alias("x")), "classes")
-    n = classes.count()
+        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    good = C.stored(vectors.mapInArrow(keyed, f"vec_id long, key binary, x array<{number}>"), "vectors")
+    classes = C.stored(good.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("many"), F.first("x").alias("x")).withColumn("rep", F.monotonically_increasing_id()), "classes")  # rep: a class's number, fixed by being stored
+    n, chunk_rows = classes.count(), max(256, CHUNK_BYTES // (8 * width))
     turn, size = rotation(width), -(-width // blocks)
     cut = [slice(k * size, min((k + 1) * size, width)) for k in range(blocks) if k * size < width]
     budget = (2 - 2 * cosine + SLACK) / len(cut)
-    picked = V.sample(classes, "rep", "x", SAMPLE, width)
-    depth = max(0, min(int(np.log2(max(n / CHUNK, 1))), int(np.log2(max(len(picked) / LEAF_SAMPLE, 1)))))
+    picked = V.sample(classes, "rep", "x", min(SAMPLE, max(4096, LEAF_SAMPLE * 2 * n // chunk_rows)), width)
+    depth = max(0, min(int(np.log2(max(n / chunk_rows, 1))), int(np.log2(max(len(picked) / LEAF_SAMPLE, 1)))))
     plans = []
     for c in cut:
         points = rotated(picked, turn)[:, c] if len(picked) else np.zeros((0, c.stop - c.start))
         nodes = tree(points, depth)
         _, leaf, home = leaves(points, nodes, depth, budget)
-        share = lambda mask: np.maximum(1, np.ceil(np.bincount(leaf[mask], minlength=1 << depth) / max(len(picked), 1) * n / CHUNK)).astype(int)  # noqa: B023, E731
+        share = lambda mask: np.maximum(1, np.ceil(np.bincount(leaf[mask], minlength=1 << depth) / max(len(picked), 1) * n / chunk_rows)).astype(int)  # noqa: B023, E731
         plans.append((c, nodes, share(home), share(~home)))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +161,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
             return v
 
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        # a pair within budget has a.b - |b|^2 / 2 >= (|a|^2 - budget) / 2: one product in single precision, with slack
         b = turned[right][:, cut[k]]
-        bb = (b**2).sum(1)
+        b = np.column_stack([b, -0.5 * (b**2).sum(1)]).astype(np.float32)
         step = max(1, 4_000_000 // max(len(right), 1))
         for s in range(0, len(left), step):
             a = turned[left[s : s + step]][:, cut[k]]
-            near = (a**2).sum(1)[:, None] + bb[None] - 2 * a @ b.T <= budget + 1e-6
+            near = np.column_stack([a, np.ones(len(a))]).astype(np.float32) @ b.T >= (0.5 * ((a**2).sum(1) - budget) - 1e-5).astype(np.float32)[:, None]
             if i == j:
                 near &= np.arange(len(right))[None] > np.arange(s, s + len(a))[:, None]
             p, q = np.nonzero(near)
@@ -187,7 +191,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
         root = np.array([find(z) for z in linked.tolist()], int)
         yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(links[linked]), pa.array(rep[root] if len(root) else rep[:0])], ["rep", "links", "root"])
 
-    schema = "block long, leaf long, i long, j long, side long, rep long, many long, x array<double>"
+    schema = f"block long, leaf long, i long, j long, side long, rep long, many long, x array<{number}>"
     spread = classes.select("rep", "many", "x").repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = spread.mapInArrow(dealt, schema)
 
@@ -197,9 +201,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
     found = C.stored(parts.groupBy("block", "leaf", "i", "j").applyInArrow(grouped, "rep long, links long, root long"), "links")
     comps = C.components(found.select("rep", "root").where("rep <> root"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.select("key", "rep", "many").join(counts, "rep", "left").join(comps, F.col("rep") == comps["node"], "left")
-    of_class = C.stored(of_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "labels")
-    labelled = C.stored(good.select("vec_id", "key"), "keys").join(of_class, "key").select("vec_id", "links", "component")
-    rest = vectors.select("vec_id").join(labelled, "vec_id", "left")
+    of_class = classes.select("key", "first", "rep", "many").join(counts, "rep", "left").join(comps, F.col("rep") == comps["node"], "left")
+    of_class = C.stored(of_class.select("key", "first", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "rep").alias("group")), "labels")
+    smallest = of_class.groupBy("group").agg(F.min("first").alias("component"))
+    of_class = of_class.join(smallest, "group").select("key", "many", "links", "component")
+    out = C.with_class(good.select("vec_id", "key"), of_class, ["key"])
     component = F.coalesce("component", "vec_id")
-    return rest.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

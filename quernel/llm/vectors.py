@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,10 @@ def valid(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.nd
 
 
 def width_of(vectors: DataFrame, column: str) -> int:
-    """The vectors' one width; an error if there are several. 0 for a table without vectors."""
-    sizes = [r[0] for r in vectors.where(F.col(column).isNotNull() & (F.size(column) > 0)).select(F.size(column)).distinct().limit(2).collect()]
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of several widths: {sizes}")
-    return sizes[0] if sizes else 0
+    """The commonest width of the vectors, the smaller one of equally common ones; 0 for a table without vectors."""
+    sizes = vectors.where(F.col(column).isNotNull() & (F.size(column) > 0)).groupBy(F.size(column).alias("width")).count()
+    first = sizes.orderBy(F.desc("count"), "width").first()
+    return first["width"] if first else 0
 
 
 def sample(vectors: DataFrame, id_col: str, column: str, rows: int, width: int) -> np.ndarray:
@@ -49,6 +48,3 @@ def lists(x: np.ndarray) -> pa.Array:
 def joined(pieces: Iterator[pa.RecordBatch]) -> pa.Table | None:
     got = list(pieces)
     return pa.Table.from_batches(got).combine_chunks() if got else None
-
-
-Kernel = Callable[[pa.Table], pa.Table]

@@ -77,11 +77,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     queries has (id_col, column); a query's own id is no candidate. Pivots are up to `pivots` vectors of four times as many,
     by hash of the id; every vector is indexed. A shard reranks the given share of its vectors, and at least `least`. Null, empty
-    and zero vectors and those with null, NaN or infinite components take no part. Vectors of several widths are an
-    error. An empty table, or one without queries, gives an empty result; other columns are not read.
+    and zero vectors, those with null, NaN or infinite components, those of another width than the commonest, and rows without an
+    id take no part. Rows of vectors that share an id are candidates each; a query id is asked once, with the smallest of its vectors.
+    Pivots at equal nearness rank by their number. An empty table, or one without queries, gives an empty result; other columns are not read.
     """
-    vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
-    queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
+    vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v")).where("id is not null")
+    queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v")).where("id is not null")
     width = V.width_of(vectors, "v")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     schema = "id long, x array<double>, norm2 double"
     index = C.stored(vectors.mapInArrow(clean, schema), "index")
-    asked = C.stored(queries.mapInArrow(clean, schema), "asked")
+    asked = queries.mapInArrow(clean, schema).groupBy("id").agg(F.min("x").alias("x"))
+    asked = C.stored(asked, "asked")
     n, top2 = index.agg(F.count("*"), F.max("norm2")).first()
     q = asked.count()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -137,22 +137,23 @@ def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """docs with a column quality_score (0 to 1).
 
     labels has (id_col, label_col); rows with a null in either, and those of the held-out fold (crc32 of the id's text
-    modulo folds is held), are never learned from. Up to `sample` labelled rows, by hash of the id, fit the model.
+    modulo folds is held), are never learned from. Up to `sample` labelled ids, by hash, fit the model, each by one of its rows.
     A null or empty text gets the score of its statistics, those of no text. Without labels the score is 1/2. Rows
     may repeat; an empty table gives an empty result; a column quality_score that docs has is replaced.
     """
     docs = docs.drop("quality_score")
     seen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").where(C.fold("doc_id", folds) != held)
-    seen = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)  # so its broadcast is bounded
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(seen), "doc_id").select("y", "text")
+    seen = seen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so its broadcast is bounded
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(seen), "doc_id").select("y", "text", "doc_id")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, off in C.text_chunks(batch.column(1)):
                 x = statistics(raw, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64())), batch.column(2).slice(i, j - i)], ["y", "x", "id"])
 
-    fitted = texts.mapInArrow(listed, "y int, x array<double>").toPandas()
+    fitted = texts.mapInArrow(listed, f"y int, x array<double>, id {dict(docs.dtypes)[id_col]}").groupBy("id").agg(F.min(F.struct("y", "x")).alias("r"))
+    fitted = fitted.orderBy("id").select("r.y", "r.x").toPandas()
     model = Discriminant.fit(np.stack(fitted["x"].to_numpy()) if len(fitted) else np.zeros((0, len(STATISTICS))), fitted["y"].to_numpy())
     at = docs.columns.index(text_col)
 

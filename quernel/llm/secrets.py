@@ -161,14 +161,15 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     with every found value replaced by [REDACTED]); the columns of docs stay, but for those of these names.
 
     Null and empty texts have no candidates and keep their text. Repeated rows are scanned each for itself. Values are
-    compared whole: equal values in one text are all replaced. An empty table gives an empty result.
+    compared whole: equal values in one text are all replaced. Columns of docs named n_candidates, findings or redacted are replaced; an empty table gives an empty result.
     """
     forest = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     docs = docs.drop("n_candidates", "findings", "redacted")
-    judged = F.expr(f"transform(__c, c -> transform(array(c.f), f -> named_struct('at', c.at, 'value', c.value, 'score', {forest}))[0])")
+    found, scored = C.fresh(docs, "found"), C.fresh(docs, "scored")
+    judged = F.expr(f"transform({found}, c -> transform(array(c.f), f -> named_struct('at', c.at, 'value', c.value, 'score', {forest}))[0])")
     with_f = F.transform(candidates(F.col(text_col)), lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), features(c).alias("f")))
-    out = docs.withColumn("__c", with_f).withColumn("__j", judged)
-    out = out.withColumn("n_candidates", F.size("__j").cast("long")).withColumn("findings", F.filter("__j", lambda x: x["score"] >= threshold))
+    out = docs.withColumn(found, with_f).withColumn(scored, judged)
+    out = out.withColumn("n_candidates", F.size(scored).cast("long")).withColumn("findings", F.filter(scored, lambda x: x["score"] >= threshold))
     values = F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["value"])), lambda a, b: F.length(b) - F.length(a))
     hide = F.aggregate(values, F.col(text_col), lambda t, v: F.replace(t, v, F.lit("[REDACTED]")))
-    return out.withColumn("redacted", hide).drop("__c", "__j")
+    return out.withColumn("redacted", hide).drop(found, scored)

@@ -1,5 +1,8 @@
 """The training-data pipeline: documents that the quality classifier accepts, one of each near-duplicate group, without
-secrets, mixed to target weights, as token digests. Each stage's rows are written as Parquet and read again."""
+secrets, mixed to target weights, as token digests. Each stage's rows are written as Parquet and read again.
+
+Every stage takes null ids and texts, empty texts, repeated rows, empty tables and further columns: a null or empty text is
+judged by the statistics of no text, is nobody's duplicate, holds no secret, counts no token and has no token ids."""
 
 from __future__ import annotations
 
@@ -25,19 +28,20 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row without an id stands behind those with one (below 2^62), by a hash of its text. Of rows that share id and text
     one stays; rows that share an id but not the text stay or go together."""
+    id_, digest, key = (C.fresh(docs, x) for x in ("row_id", "digest", "row_key"))
     own = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    rows = docs.withColumn("__id", F.coalesce("doc_id", own)).withColumn("__digest", F.coalesce(F.sha2("text", 256), F.lit("")))
-    dropped = C.stored(minhash.near_duplicates(docs.withColumn("__id", F.coalesce("doc_id", own)), id_col="__id", width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    rows = rows.join(C.small(dropped, dropped.count()), "__id", "left_anti")
+    rows = docs.withColumn(id_, F.coalesce("doc_id", own))
+    dropped = minhash.near_duplicates(rows, id_col=id_, width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias(id_)).distinct()
+    dropped = C.stored(dropped, "dropped")
+    rows = rows.withColumn(digest, F.coalesce(F.sha2("text", 256), F.lit(""))).join(C.small(dropped, dropped.count()), id_, "left_anti")
+    rows = rows.withColumn(key, F.xxhash64(id_, digest))
     # only rows that occur again are shuffled with their texts
-    key = F.xxhash64("__id", "__digest").alias("__key")
-    again = C.stored(rows.groupBy(key).count().where("count > 1").select("__key"), "again")
+    again = C.stored(rows.groupBy(key).count().where("count > 1").select(key), "again")
     n = again.count()
     if not n:
         return rows.select(docs.columns)
-    rows = rows.withColumn("__key", F.xxhash64("__id", "__digest"))
-    once = rows.join(C.small(again, n), "__key", "left_anti")
-    more = rows.join(C.small(again, n), "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    once = rows.join(C.small(again, n), key, "left_anti")
+    more = rows.join(C.small(again, n), key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return once.select(docs.columns).union(more.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
@@ -51,7 +55,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as its own rate says. A rate's fraction is drawn by the hash of the id, so that rows that share an
     id share the draw; rows without an id draw by their text."""
     labelled = labelled_languages(docs, table(spark, sf_dir, "labels"))
-    rates = mixing.rates(docs.withColumn("__id", F.coalesce("doc_id", F.xxhash64("text"))), labelled, TARGETS, id_col="__id", carry=True)
+    id_ = C.fresh(docs, "row_id")
+    rates = mixing.rates(docs.withColumn(id_, F.coalesce("doc_id", F.xxhash64("text"))), labelled, TARGETS, id_col=id_, carry=True)
     return rates.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -74,7 +79,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), set(C.tables())
     for name, stage in STAGES:
         docs = C.stored(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        C.release(spark, [t for t in C.tables()[:-1] if t not in others])  # what led to the stage's rows; these stay
     return docs

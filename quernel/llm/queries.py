@@ -78,8 +78,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_minhash_near_dedup, op2_toxicity, op3_embedding_near_dedup, op4_byte_bpe, op5_quality, op6_lm_scoring, op7_mixing, op8_nearest_neighbours, op9_chat_formatting, op10_secret_scans)
 }
 
-#: DuckDB SQL for those that SQL expresses.
+#: DuckDB SQL for those that SQL expresses: all pairs that share a shingle, all pairs of vectors, closed links.
 ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE lists AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM lists),
+        held AS (SELECT doc_id, hash(unnest(s)) AS s, len(s) AS n FROM shingles),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM held a JOIN held b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        first AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+        FROM shingles LEFT JOIN first ON doc_id = x""",
+    "op3_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            AND list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95),
+        reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        first AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+        many AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, vec_id <= coalesce(y, vec_id) AS kept
+        FROM embeddings LEFT JOIN first ON vec_id = first.x LEFT JOIN many ON vec_id = many.x""",
     "op9_chat_formatting": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .plans.engine import Engine, text_lines
+from .plans.engine import Engine, json_rows, text_lines
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             rows = engine.search(args.query, args.limit, args.bm25_only)
             if args.json:
-                print(json.dumps([r.asDict() for r in rows.collect()], indent=2))
+                print(json.dumps([json.loads(r.json) for r in json_rows(rows).collect()], indent=2))
             else:
                 print("\n".join(r.line for r in text_lines(rows).collect()))
     except (FileNotFoundError, ValueError) as e:

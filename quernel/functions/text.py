@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,19 +36,16 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.octet_length(text) / 4).cast("long")
 
 
-def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+\\z", "")
-
-
-def is_blank(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", "") == ""
-
-
 def code_tokens(text: Column) -> Column:
     """Lower-case tokens: runs of letters and digits, cut where a lower-case letter meets an upper-case one."""
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def code_words(text: str) -> list[str]:
+    """What code_tokens gives, for one text in Python."""
+    return regex.findall(r"[\p{L}\p{N}]+", regex.sub(r"(\p{Ll})(\p{Lu})", r"\1 \2", text).lower())
+
+
 def l2_normalize(vector: Column) -> Column:
     """The vector over its length; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

@@ -1,34 +1,70 @@
 """A BM25 index as tables, and searches over it.
 
 postings (term, chunk_id, tf, positions, dl) carries the document length, so that scoring joins nothing per document;
-terms (term, df) and corpus (n, avgdl) hold the statistics. Stored postings are sorted by term within files, and a
+terms (term, df) and corpus (n, avgdl) hold the statistics. A chunk's postings are made in its own row: words are cut in
+the JVM, stemmed and gathered by an Arrow kernel, and nothing is shuffled before the one range partition by term. Stored postings are sorted by term, and a
 query's terms are pushed down as an IN filter, so row groups without them are skipped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.stemmer import stem, stem_words
+from ..functions.stemmer import stem
 from .query_parser import Group, Leaf, parse
 
 K1, B = 1.2, 0.75
+#: Stems that a worker remembers; the store starts anew when full.
+REMEMBERED = 500_000
 
+_stems: dict[str, str] = {}
 
-def tokens(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "formatted", stemmed: bool = True) -> DataFrame:
-    """(chunk_id, pos, term); positions count all tokens, long ones are dropped afterwards."""
+
+def stemmed_word(word: str) -> str:
+    if (out := _stems.get(word)) is None:
+        if len(_stems) >= REMEMBERED:
+            _stems.clear()
+        out = _stems[word] = stem(word)
+    return out
+
+
+def tokens(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "formatted") -> DataFrame:
+    """(chunk_id, pos, term), unstemmed; positions count all tokens, long ones are dropped afterwards."""
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(T.code_tokens(F.col(text_col))).alias("pos", "term"))
-    if stemmed:  # each distinct word is stemmed once
-        words = rows.select("term").distinct().withColumn("stem", stem_words("term"))
-        rows = rows.join(words, "term").select("chunk_id", "pos", F.col("stem").alias("term"))
     return rows.where(F.octet_length("term") < T.LONG_TOKEN)
 
 
+def postings(chunks: DataFrame, id_col: str, text_col: str, stemmed: bool) -> DataFrame:
+    """(term, chunk_id, tf, positions, dl) of each chunk's distinct terms, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                row, terms, found, length = [], [], [], []
+                for i, words in enumerate(part.column(1).to_pylist()):
+                    places: dict[str, list[int]] = {}
+                    for p, w in enumerate(words or ()):
+                        places.setdefault(stemmed_word(w) if stemmed else w, []).append(p)
+                    kept = [t for t in places if len(t.encode()) < T.LONG_TOKEN]
+                    dl = sum(len(places[t]) for t in kept)
+                    row += [i] * len(kept)
+                    terms += kept
+                    found += [places[t] for t in kept]
+                    length += [dl] * len(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), part.column(0).take(pa.array(row, pa.int64())), pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(length, pa.int64())], ["term", "chunk_id", "tf", "positions", "dl"])
+
+    words = chunks.select(F.col(id_col).alias("chunk_id"), T.code_tokens(F.col(text_col)).alias("words"))
+    return words.mapInArrow(run, "term string, chunk_id string, tf long, positions array<int>, dl long")
+
+
 @dataclass
 class Index:
     postings: DataFrame
@@ -38,29 +74,40 @@ class Index:
 
     @classmethod
     def build(cls, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "formatted", stemmed: bool = True) -> Index:
-        rows = tokens(chunks, id_col, text_col, stemmed)
-        found = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        lengths = rows.groupBy("chunk_id").agg(F.count("*").alias("dl"))
-        every = chunks.select(F.col(id_col).alias("chunk_id")).join(lengths, "chunk_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
-        return cls(found.join(lengths, "chunk_id"), found.groupBy("term").agg(F.count("*").alias("df")), every, stemmed)
+        """An index that is computed anew by each search; written and read, it is computed once."""
+        found = postings(chunks, id_col, text_col, stemmed)
+        return cls(found, *cls.statistics(found, chunks.agg(F.count("*").alias("n"))), stemmed)
+
+    @staticmethod
+    def statistics(found: DataFrame, n: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """terms and corpus, by aggregations that are partial before their shuffle."""
+        total = found.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        corpus = n.crossJoin(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avgdl"))  # two single rows
+        return found.groupBy("term").agg(F.count("*").alias("df")), corpus
 
     def write(self, path: str) -> None:
-        """Replaces what the path holds, so indexing again doesn't add rows twice."""
-        parts = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Replaces what the path holds, so indexing again doesn't add rows twice. Postings are written as they come and then
+        in order: the range partition's sampling would otherwise make them twice."""
         spark = self.postings.sparkSession
-        stored = spark.read.parquet(f"{path}/postings")
-        stored.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.corpus.withColumn("stemmed", F.lit(self.stemmed)).write.mode("overwrite").parquet(f"{path}/corpus")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")
+        found = spark.read.parquet(f"{path}/unsorted")
+        found.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        terms, corpus = self.statistics(spark.read.parquet(f"{path}/postings"), self.corpus.select("n"))
+        terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        corpus.withColumn("stemmed", F.lit(self.stemmed)).write.mode("overwrite").parquet(f"{path}/corpus")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
         corpus = spark.read.parquet(f"{path}/corpus")
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), corpus, corpus.first()["stemmed"])
 
-    def analyse(self, text: str) -> list[str]:
-        words = [r[0] for r in self.postings.sparkSession.range(1).select(F.explode(T.code_tokens(F.lit(text)))).collect()]
-        return [w for w in (stem(w) if self.stemmed else w for w in words) if len(w.encode()) < T.LONG_TOKEN]
+    def analyse(self, text: str) -> list[tuple[int, str]]:
+        """Positions and terms, as the chunks' own: dropped long tokens leave gaps."""
+        terms = [stemmed_word(w) if self.stemmed else w for w in T.code_words(text)]
+        return [(i, t) for i, t in enumerate(terms) if len(t.encode()) < T.LONG_TOKEN]
 
     def score(self, tf: Column, idf: Column) -> Column:
         n = F.col("dl") / F.col("avgdl")
@@ -76,11 +123,11 @@ class Index:
         terms = self.analyse(node.text)
         if not terms:
             return self.postings.where("false").select("chunk_id", F.lit(0.0).alias("score"))
-        rows = self.weighted(sorted(set(terms)))
+        rows = self.weighted(sorted({t for _, t in terms}))
         if len(terms) == 1:
             return rows.select("chunk_id", (self.score(F.col("tf"), F.col("idf")) * node.boost).alias("score"))
-        # a phrase: its terms at following positions; its weight is the sum of theirs
-        marks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)])
+        # a phrase: its terms at positions as far apart as in the query; its weight is the sum of theirs
+        marks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in terms])
         starts = rows.withColumn("mark", F.explode(F.filter(marks, lambda m: m["t"] == F.col("term")))).select("chunk_id", "dl", "avgdl", "idf", F.col("mark.i").alias("i"), F.explode("positions").alias("p"))
         hits = starts.groupBy("chunk_id", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("got"), F.sum("idf").alias("idf"), F.first("dl").alias("dl"), F.first("avgdl").alias("avgdl")).where(F.col("got") == len(terms))
         found = hits.groupBy("chunk_id").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"), F.first("dl").alias("dl"), F.first("avgdl").alias("avgdl"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -58,18 +58,38 @@ def chunk(files: DataFrame, path_col: str = "path", text_col: str = "content", s
     return rows.withColumn("chunk_id", name).withColumn("formatted", line).withColumn("hash", T.content_hash(F.col("formatted")))
 
 
-def token_batches(chunks: DataFrame, id_col: str = "chunk_id", group_col: str = "path", tokens_col: str = "tokens", limit: int = 8192, most: int = 64) -> DataFrame:
-    """(group, id, batch): greedy batches within a group in order of id, closed at `most` rows or beyond `limit` tokens; one row at least."""
+#: Texts of a batch at most, and estimated tokens that close one.
+BATCH_ROWS, BATCH_TOKENS = 64, 8192
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        batch, count, total, out = 0, 0, 0, []
-        for t in pdf["tokens"]:
-            if count and (count >= most or total + t > limit):
-                batch, count, total = batch + 1, 0, 0
-            count, total = count + 1, total + t
-            out.append(batch)
-        return pdf.assign(batch=out)[["group", "id", "batch"]]
 
-    rows = chunks.select(F.col(group_col).alias("group"), F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("tokens"))
-    return rows.groupBy("group").applyInPandas(run, "group string, id string, batch int")
+class Batcher:
+    """Deals rows to greedy batches in their order: one is closed at BATCH_ROWS rows or where a row would lead beyond BATCH_TOKENS; it has one row at least."""
+
+    def __init__(self, limit: int = BATCH_TOKENS, most: int = BATCH_ROWS) -> None:
+        self.limit, self.most, self.batch, self.count, self.total = limit, most, 0, 0, 0
+
+    def next(self, tokens: int) -> int:
+        if self.count and (self.count >= self.most or self.total + tokens > self.limit):
+            self.batch, self.count, self.total = self.batch + 1, 0, 0
+        self.count, self.total = self.count + 1, self.total + tokens
+        return self.batch
+
+
+def token_batches(chunks: DataFrame, group: Column, limit: int = BATCH_TOKENS, most: int = BATCH_ROWS) -> DataFrame:
+    """(group, path, chunk_idx, batch) of chunks (path, chunk_idx, tokens): greedy batches within each group, in order of path and index.
+
+    A group's rows come sorted to one task, which passes them through and holds the open batch's sums only, so a group may be of any size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, dealer = None, Batcher(limit, most)
+        for pdf in batches:
+            out = []
+            for g, t in zip(pdf["group"], pdf["tokens"], strict=True):
+                if g != now:
+                    now, dealer = g, Batcher(limit, most)
+                out.append(dealer.next(int(t)))
+            yield pdf.drop(columns="tokens").assign(batch=out)
+
+    rows = chunks.select(group.cast("string").alias("group"), "path", "chunk_idx", F.col("tokens").cast("long").alias("tokens"))
+    rows = rows.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "path", "chunk_idx")
+    return rows.mapInPandas(run, "group string, path string, chunk_idx int, batch int")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import itertools
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from typing import Literal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.stemmer import stem
+from .chunking import Batcher
 
 Kind = Literal["query", "document"]
 #: Rows of a text at most, with the start and marker rows; ids of the two markers.
@@ -28,44 +30,74 @@ class TokenEncoder(ABC):
         """Rows x dim, each row of length 1."""
 
     def encode_batch(self, texts: list[str], kind: Kind) -> list[np.ndarray]:
+        """Of each text what encode gives; an encoder that gains by it overrides this."""
         return [self.encode(t, kind) for t in texts]
 
+    def encode_queries(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_batch(texts, "query")
+
+    def encode_documents(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_batch(texts, "document")
+
+    def each(self, texts: list[str], kind: Kind) -> list[tuple[np.ndarray, str | None]]:
+        """A batch's matrices and errors; where the batch fails, each of its texts is tried by itself."""
+        try:
+            return [(m, None) for m in self.encode_batch(texts, kind)]
+        except Exception:  # noqa: BLE001
+            out = []
+            for t in texts:
+                try:
+                    out.append((self.encode_batch([t], kind)[0], None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((np.zeros((0, self.dim)), str(e)))
+            return out
+
     def encode_table(self, rows: DataFrame, kind: Kind = "document", key: str = "hash", text: str = "formatted") -> DataFrame:
-        """(key, num_tokens, embedding, error): a text that fails alone gets an error, not a failed job."""
+        """(key, num_tokens, embedding, error): texts go to the encoder in greedy batches by estimated tokens; a text that fails alone gets an error, not a failed job."""
         encoder = self
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for i in range(0, len(pdf), 64):
-                    part, out = pdf.iloc[i : i + 64], []
-                    for k, t in zip(part["key"], part["text"], strict=True):
-                        try:
-                            m = encoder.encode(t, kind)
-                            out.append((k, len(m), m.astype(np.float32).tolist(), None))
-                        except Exception as e:  # noqa: BLE001
-                            out.append((k, 0, [], str(e)))
-                    yield pd.DataFrame(out, columns=["key", "num_tokens", "embedding", "error"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, dealer = batch.column(1).to_pylist(), Batcher()
+                dealt = [dealer.next(len((t or "").encode()) // 4) for t in texts]
+                cuts = [i for i in range(len(dealt)) if i == 0 or dealt[i] != dealt[i - 1]]
+                for i, j in itertools.pairwise([*cuts, len(dealt)]):
+                    found = encoder.each([t or "" for t in texts[i:j]], kind)
+                    size = np.array([len(m) for m, _ in found])
+                    flat = np.concatenate([m for m, _ in found]).astype(np.float32).reshape(-1)
+                    inner = pa.ListArray.from_arrays(pa.array(np.arange(size.sum() + 1) * encoder.dim, pa.int32()), pa.array(flat))
+                    matrices = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), inner)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), matrices, pa.array([e for _, e in found], pa.string())], ["key", "num_tokens", "embedding", "error"])
 
-        rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        return rows.mapInPandas(run, "key string, num_tokens int, embedding array<array<float>>, error string").withColumnRenamed("key", key)
+        rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+        return rows.mapInArrow(run, "key string, num_tokens int, embedding array<array<float>>, error string").withColumnRenamed("key", key)
 
 
 class HashEncoder(TokenEncoder):
-    """Each stemmed token's row comes from SHA-256 of the token; start and marker rows from their names."""
+    """Each token's row (stemmed, if wanted) comes from SHA-256 of the token; start and marker rows from their names."""
 
-    def __init__(self, dim: int = 128) -> None:
-        self.dim = dim
+    def __init__(self, dim: int = 128, stemmed: bool = True) -> None:
+        self.dim, self.stemmed, self.rows = dim, stemmed, {}
 
     def row(self, name: str) -> np.ndarray:
+        if (v := self.rows.get(name)) is None:
+            if len(self.rows) >= 100_000:
+                self.rows.clear()
+            v = self.rows[name] = self._row(name)
+        return v
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": {}}
+
+    def _row(self, name: str) -> np.ndarray:
         need = -(-self.dim // 32)
         raw = b"".join(hashlib.sha256(f"{k}:{name}".encode()).digest() for k in range(need))[: self.dim]
         v = np.frombuffer(raw, np.uint8).astype(np.float64) - 127.5
         return v / np.linalg.norm(v)
 
     def encode(self, text: str, kind: Kind) -> np.ndarray:
-        split = re.sub(r"([^\W\d_A-Z])([A-Z])", r"\1 \2", text)
-        words = [stem(w) for w in re.findall(r"[^\W_]+", split.lower())][: MAX_ROWS - 2]
-        return np.stack([self.row(w) for w in ["[CLS]", f"[{MARKERS[kind]}]", *words]])
+        words = T.code_words(text)[: MAX_ROWS - 2]
+        return np.stack([self.row(w) for w in ["[CLS]", f"[{MARKERS[kind]}]", *(map(stem, words) if self.stemmed else words)]])
 
 
 class OnnxEncoder(TokenEncoder):

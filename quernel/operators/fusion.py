@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 
 RRF_K = 60
 #: A range up to this (the single-precision epsilon) counts as none.
@@ -33,11 +34,25 @@ def weighted(bm25: DataFrame, semantic: DataFrame, weight: float = 0.3) -> DataF
     return parts.groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
-def reciprocal_rank(*rankings: DataFrame) -> DataFrame:
-    """(doc_id, score): the sum of 1 / (60 + rank) over any number of (doc_id, score) lists, ties by id.
+def ranked(scores: DataFrame) -> DataFrame:
+    """scores with rank: the place by falling score, ties by id, over the whole list, however long.
+
+    The list is written to range partitions of (score, id) and each is numbered by itself, offset by the counted rows of those before; one
+    number per partition reaches the driver. Nothing but a partition's sort holds more than a row."""
+    spark = scores.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = scores.select("doc_id", "score").repartitionByRange(parts, F.desc("score"), F.asc("doc_id")).sortWithinPartitions(F.desc("score"), F.asc("doc_id"))
+    rows = stored(rows.withColumn("part", F.spark_partition_id()), "ranked")
+    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    before, total = [], 0
+    for k in sorted(counts):
+        before.append(F.when(F.col("part") == k, F.lit(total)))
+        total += counts[k]
+    order = Window.partitionBy("part").orderBy(F.desc("score"), "doc_id")
+    return rows.select("doc_id", "score", (F.row_number().over(order) + F.coalesce(*before, F.lit(0))).cast("long").alias("rank"))
 
-    Each ranking orders one list as a whole, so pass search results, which are limited, not tables.
-    """
-    order = Window.orderBy(F.desc("score"), "doc_id")
-    parts = [r.select("doc_id", (F.lit(1.0) / (RRF_K + F.row_number().over(order))).alias("score")) for r in rankings]
+
+def reciprocal_rank(*rankings: DataFrame) -> DataFrame:
+    """(doc_id, score): the sum of 1 / (60 + rank) over any number of (doc_id, score) lists, ties by id."""
+    parts = [ranked(r).select("doc_id", (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("score")) for r in rankings]
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,14 @@ class VectorStore:
         self.spark, self.path, self.dim = spark, path, dim
 
     def table(self) -> DataFrame:
-        """All entries; a store that was never written is empty."""
+        """All entries; a store that was never written is empty, a path that holds another format a ValueError."""
         try:
+            have = {k: v for k, v in self.spark.read.parquet(self.path).dtypes}
+            if any(have.get(k) != v for k, v in self.spark.createDataFrame([], SCHEMA).dtypes):
+                raise ValueError(f"{self.path} is no vector store: {have}")
             return self.spark.read.schema(SCHEMA).parquet(self.path)
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             return self.spark.createDataFrame([], SCHEMA)
 
@@ -34,10 +38,17 @@ class VectorStore:
         wrong = F.exists("embedding", lambda r: F.size(r) != self.dim)
         checked = F.when(wrong, F.raise_error(F.lit(f"expected vectors of {self.dim} components"))).otherwise(F.col("embedding"))
         fresh = self.missing(vectors.dropDuplicates(["hash"])).select("hash", "num_tokens", checked.cast("array<array<float>>").alias("embedding"))
-        fresh.write.mode("append").parquet(self.path)
+        fresh.write.mode("append").option("parquet.bloom.filter.enabled#hash", "true").parquet(self.path)
 
-    def get(self, hash_: str) -> DataFrame:
-        return self.table().where(F.col("hash") == hash_)
+    def get(self, hash_: str) -> np.ndarray:
+        """The matrix of one entry; a hash without an entry is a KeyError, a damaged entry a ValueError."""
+        row = self.table().where(F.col("hash") == hash_).first()
+        if row is None:
+            raise KeyError(hash_)
+        found = np.array(row["embedding"], np.float32).reshape(len(row["embedding"]), -1)
+        if len(found) != row["num_tokens"] or len(found) and found.shape[1] != self.dim:
+            raise ValueError(f"entry {hash_} has {found.shape}, not {row['num_tokens']} x {self.dim}")
+        return found
 
     def lookup(self, asked: DataFrame) -> DataFrame:
         """Entries for (ordinal, hash), with the ordinal; duplicates stay, missing ones are left out."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from ..operators import fusion, maxsim
 from ..operators.bm25 import Index, tokens
 from ..operators.chunking import chunk, token_batches
 from ..operators.encoder import HashEncoder
+from ..operators.query_parser import parse
 from ..operators.vector_store import VectorStore
 from ..sources.directory import MAX_BYTES, documents
+from ..sources.shared import folder, stored
 from . import engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,29 +68,55 @@ _NAMED = f"named AS (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY
 _FORMATTED = "form AS (SELECT *, path || '#chunk' || chunk_idx AS chunk_id, '// ' || path || '#chunk' || chunk_idx || chr(10) || content AS formatted FROM named)"
 
 
+_CHUNK_POSTINGS = _POSTINGS.replace("SELECT source || '/' || doc_id AS d, ", "SELECT chunk_id AS d, ").replace("(text,", "(formatted,").replace("FROM documents", "FROM form")
+_OVER_CHUNKS = f"WITH RECURSIVE {_FILES}, {_CHUNKS}, {_NAMED}, {_FORMATTED}, {_CHUNK_POSTINGS}"
+
+
+def _best_files(*words: str) -> str:
+    """The best 100 chunks for the words, and the best score of each file."""
+    terms = ", ".join(f"'{w}'" for w in words)
+    return f"""
+    best AS (SELECT d, round(sum(s), 9) AS s FROM w WHERE term IN ({terms}) GROUP BY d ORDER BY 2 DESC, 1 LIMIT 100),
+    lexical AS (SELECT regexp_replace(d, '#chunk[0-9]+$', '') AS path, max(s) AS s FROM best GROUP BY 1)"""
+
+
+def _fused_files(*words: str) -> str:
+    """Hybrid search by hash vectors of 32 components (SHA-256 bytes less 127.5, of length 1), single precision in documents."""
+    names = ", ".join(f"'{n}'" for n in ["[CLS]", "[250002]", *words])
+    return f"""{_best_files(*words)},
+    listed AS (SELECT chunk_id AS d, {_TOKENS.replace("(text,", "(formatted,")}[1:126] AS t FROM form WHERE chunk_id IN (SELECT d FROM best)),
+    held AS (SELECT DISTINCT d, unnest(list_concat(['[CLS]', '[250003]'], t)) AS name FROM listed),
+    hashed AS (SELECT name, sha256('0:' || name) AS h FROM (SELECT name FROM held UNION SELECT unnest([{names}]))),
+    raw AS (SELECT name, list_transform(range(32), lambda i: (strpos('0123456789abcdef', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 * i + 2, 1)) - 128.5::DOUBLE) AS v FROM hashed),
+    vec AS (SELECT name, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM raw),
+    near AS (SELECT d, q.name, max(list_inner_product(q.v, list_transform(e.v, lambda x: x::FLOAT::DOUBLE))) AS s FROM held JOIN vec e USING (name) CROSS JOIN (SELECT * FROM vec WHERE name IN ({names})) q GROUP BY 1, 2),
+    semantic AS (SELECT regexp_replace(d, '#chunk[0-9]+$', '') AS path, max(s) AS s FROM (SELECT d, sum(s) AS s FROM near GROUP BY d) GROUP BY 1),
+    nl AS (SELECT path, s, CASE WHEN max(s) OVER () - min(s) OVER () > 1.1920929e-7 THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 1 END AS n FROM lexical),
+    ns AS (SELECT path, s, CASE WHEN max(s) OVER () - min(s) OVER () > 1.1920929e-7 THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 1 END AS n FROM semantic),
+    found AS (SELECT path, round(nl.s, 6) AS bm25_score, round(ns.s, 6) AS semantic_score, round(0.3::DOUBLE * coalesce(nl.n, 0) + 0.7::DOUBLE * coalesce(ns.n, 0), 6) AS fusion_score
+        FROM nl FULL JOIN ns USING (path) ORDER BY fusion_score DESC, path LIMIT 10)"""
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk(documents(spark, sf))
 
 
 def _plain(spark: SparkSession, sf: str) -> Index:
-    """An unstemmed index of whole documents, which SQL can express."""
-    return Index.build(documents(spark, sf), "path", "content", stemmed=False)
+    """An unstemmed index of whole documents, which SQL can express; written and read."""
+    return _written(Index.build(documents(spark, sf), "path", "content", stemmed=False))
 
 
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
+def _written(index: Index) -> Index:
+    spark = index.postings.sparkSession
+    top = folder(spark, "bm25")
+    index.write(top)
+    return Index.read(spark, top)
 
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
 
-
-def _stemmed(spark: SparkSession, sf: str) -> tuple[Index, DataFrame]:
+def _stemmed(spark: SparkSession, sf: str, stemmed: bool = True) -> tuple[Index, DataFrame]:
     """Chunks and their index, written and read as an Engine does."""
-    top = _folder(spark)
-    _chunks(spark, sf).write.parquet(f"{top}/chunks")
-    chunks = spark.read.parquet(f"{top}/chunks")
-    Index.build(chunks).write(f"{top}/bm25")
-    return Index.read(spark, f"{top}/bm25"), chunks
+    chunks = stored(_chunks(spark, sf), "chunks")
+    return _written(Index.build(chunks, stemmed=stemmed)), chunks
 
 
 def _six(df: DataFrame, column: str = "score") -> DataFrame:
@@ -171,7 +200,7 @@ def batch_lookup_ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 def _store(spark: SparkSession, sf: str) -> VectorStore:
     """A store into which the documents went twice."""
-    store = VectorStore(spark, f"{_folder(spark)}/store", 2)
+    store = VectorStore(spark, folder(spark, "store"), 2)
     row = F.array(F.array(F.octet_length("content").cast("float"), F.lit(1.0).cast("float")))
     entries = documents(spark, sf).select(T.content_hash(F.col("content")).alias("hash"), F.lit(1).alias("num_tokens"), row.alias("embedding"))
     store.insert(entries.where(F.substring("hash", 1, 1) < "8"))
@@ -190,10 +219,21 @@ def store_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return store.table().agg(F.count("*").alias("entries"), (F.count("*") == 0).alias("is_empty"), F.countDistinct("hash").alias("hashes"))
 
 
-@query()
+_BATCHES = """
+    g AS (SELECT substr(md5(path), 1, 2) AS grp, path, chunk_idx, strlen(formatted) // 4 AS tokens FROM form),
+    o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY path, chunk_idx) AS i, sum(tokens) OVER (PARTITION BY grp ORDER BY path, chunk_idx) AS upto FROM g),
+    q AS (SELECT grp, list_prepend(0, list(upto::BIGINT ORDER BY i)) AS ofs, max(i) AS m FROM o GROUP BY grp),
+    step(grp, ofs, m, s, e, batch) AS (
+        SELECT grp, ofs, m, 0, least(m, 64, greatest(1, len(list_filter(ofs, lambda x: x <= 8192)) - 1)), 0 FROM q
+        UNION ALL
+        SELECT grp, ofs, m, e, least(m, e + 64, greatest(e + 1, len(list_filter(ofs, lambda x: x <= ofs[e + 1] + 8192)) - 1)), batch + 1 FROM step WHERE e < m)"""
+
+
+@query(f"WITH RECURSIVE {_FILES}, {_CHUNKS}, {_NAMED}, {_FORMATTED}, {_BATCHES} SELECT o.grp AS \"group\", path, chunk_idx, batch FROM o JOIN step ON o.grp = step.grp AND i > s AND i <= e")
 def est_token_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chunks(spark, sf).select("path", "chunk_id", T.estimated_tokens(F.col("formatted")).alias("tokens"))
-    return token_batches(rows)
+    """Greedy batches within groups of paths of like hash, so that batching runs in parallel."""
+    rows = _chunks(spark, sf).select("path", "chunk_idx", T.estimated_tokens(F.col("formatted")).alias("tokens"))
+    return token_batches(rows, F.substring(F.md5("path"), 1, 2))
 
 
 @query(f"SELECT doc_id, list_filter({_TOKENS}, lambda x: strlen(x) < 40)::VARCHAR AS tokens FROM documents".replace("::VARCHAR AS tokens", " AS t").replace("SELECT doc_id", "SELECT doc_id, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id", 1) + ")")
@@ -210,7 +250,7 @@ def camel_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT d AS chunk_id, pos::INT AS pos, term FROM kept")
 def token_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens(documents(spark, sf), "path", "content", stemmed=False)
+    return tokens(documents(spark, sf), "path", "content")
 
 
 @query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
@@ -220,7 +260,7 @@ def vocabulary_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT d AS chunk_id, dl FROM len")
 def doc_length_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens(documents(spark, sf), "path", "content", stemmed=False).groupBy("chunk_id").agg(F.count("*").alias("dl"))
+    return tokens(documents(spark, sf), "path", "content").groupBy("chunk_id").agg(F.count("*").alias("dl"))
 
 
 @query()
@@ -242,8 +282,6 @@ def _searched(name: str, text: str, sql: str) -> None:
     """A query of all matches, without limit."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        from ..operators.query_parser import parse
-
         return _six(_plain(spark, sf).matches(parse(text)))
 
     run.__name__ = name
@@ -268,9 +306,9 @@ def bm25_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     return _six(index.search("things running", 100))
 
 
-@query(f"WITH RECURSIVE {_FILES}, {_CHUNKS}, {_NAMED}, {_FORMATTED}, {_POSTINGS.replace('SELECT source || chr(47) || doc_id AS d', '').replace('FROM (SELECT source || ' + chr(39) + '/' + chr(39) + ' || doc_id AS d, ', 'FROM (SELECT chunk_id AS d, ').replace('(text,', '(formatted,').replace('AS t FROM documents', 'AS t FROM form').replace('FROM documents', 'FROM form')}, best AS (SELECT d, round(sum(s), 9) AS s FROM w WHERE term IN ('the','of','ing') GROUP BY d ORDER BY 2 DESC, 1 LIMIT 100) SELECT regexp_replace(d, '#chunk[0-9]+$', '') AS path, round(max(s), 6) AS score FROM best GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"{_OVER_CHUNKS}, {_best_files('the', 'of', 'ing')} SELECT path, round(s, 6) AS score FROM lexical ORDER BY 2 DESC, 1 LIMIT 10")
 def bm25_files(spark: SparkSession, sf: str) -> DataFrame:
-    found = engine.bm25_only(Index.build(_chunks(spark, sf), stemmed=False), "the of ing", 10)
+    found = engine.bm25_only(_written(Index.build(_chunks(spark, sf), stemmed=False)), "the of ing", 10)
     return found.select("path", F.col("fusion_score").alias("score"))
 
 
@@ -315,10 +353,17 @@ def maxsim_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _six(maxsim.score(docs, q))
 
 
-@query(f"{_MAXSIM} SELECT doc_id, round(sum(s), 6) AS score FROM m WHERE doc_id = 0 GROUP BY doc_id")
+@query(f"{_MAXSIM} SELECT doc_id, round(sum(s), 6) AS score FROM m GROUP BY doc_id")
 def maxsim_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """The kernel for one pair, on each document by itself."""
     docs, q = _pseudo(spark, sf)
-    return _six(maxsim.score(docs.where("doc_id = 0"), q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [maxsim.maxsim(q, np.array(m, np.float64)) for m in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pairs, pa.float64())], ["doc_id", "score"])
+
+    return _six(docs.mapInArrow(run, "doc_id long, score double"))
 
 
 @query(f"{_MAXSIM} SELECT doc_id, round(sum(s), 6) AS score FROM m GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 10")
@@ -339,15 +384,15 @@ def maxsim_mean(spark: SparkSession, sf: str) -> DataFrame:
     return _six(maxsim.score(docs, q, mean=True))
 
 
-# two lists of scores over documents
-_LISTS = "a AS (SELECT doc_id::VARCHAR AS id, n_chars::DOUBLE AS s FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id::VARCHAR AS id, (doc_id * 7919 % 1009)::DOUBLE AS s FROM documents WHERE doc_id % 4 <> 0)"
+# two lists of scores: all matches of two searches, which share some documents
+_LISTS = f"{_POSTINGS.strip()}, a AS (SELECT d AS id, round(sum(s), 9) AS s FROM w WHERE term IN ('the', 'of', 'ing') GROUP BY d), b AS (SELECT d AS id, round(sum(s), 9) AS s FROM w WHERE term IN ('der', 'of', 'que', 'tion') GROUP BY d)"
 _NORM = "na AS (SELECT id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS s FROM a), nb AS (SELECT id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS s FROM b)"
 
 
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    row = lambda keep, s: docs.where(keep).select(F.col("doc_id").cast("string").alias("doc_id"), s.cast("double").alias("score"))
-    return row("doc_id % 3 <> 0", F.col("n_chars")), row("doc_id % 4 <> 0", F.col("doc_id") * 7919 % 1009)
+    index = _plain(spark, sf)
+    found = lambda text: index.matches(parse(text)).select(F.col("chunk_id").alias("doc_id"), F.round("score", 9).alias("score"))
+    return stored(found("the of ing"), "list"), stored(found("der of que tion"), "list")
 
 
 @query(f"WITH {_LISTS}, {_NORM} SELECT id AS doc_id, round(s, 6) AS score FROM na")
@@ -355,59 +400,64 @@ def minmax_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return _six(fusion.minmax(_lists(spark, sf)[0]))
 
 
-_FUSED = f"WITH {_LISTS}, {_NORM} SELECT coalesce(na.id, nb.id) AS doc_id, round({{w}} * coalesce(na.s, 0) + (1 - {{w}}) * coalesce(nb.s, 0), 6) AS score FROM na FULL JOIN nb ON na.id = nb.id"
+_FUSED = f"WITH {_LISTS}, {_NORM} SELECT coalesce(na.id, nb.id) AS doc_id, round(@w * coalesce(na.s, 0) + (1 - @w) * coalesce(nb.s, 0), 6) AS score FROM na FULL JOIN nb ON na.id = nb.id"
 
 
-@query(_FUSED.format(w="0.3::DOUBLE"))
+@query(_FUSED.replace("@w", "0.3::DOUBLE"))
 def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _six(fusion.weighted(*_lists(spark, sf)))
 
 
-@query(_FUSED.format(w="0.8::DOUBLE"))
+@query(_FUSED.replace("@w", "0.8::DOUBLE"))
 def weighted_fusion_bias(spark: SparkSession, sf: str) -> DataFrame:
     return _six(fusion.weighted(*_lists(spark, sf), weight=0.8))
 
 
-_RANKED = f"WITH {_LISTS}, r AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, id)) AS s FROM a UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, id)) FROM b{{more}}) SELECT id AS doc_id, round(sum(s), 6) AS score FROM r GROUP BY id"
+_RANKED = f"WITH {_LISTS}, r AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, id)) AS s FROM a UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, id)) FROM b@more) SELECT id AS doc_id, round(sum(s), 6) AS score FROM r GROUP BY id"
 
 
-@query(_RANKED.format(more=""))
+@query(_RANKED.replace("@more", ""))
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _six(fusion.reciprocal_rank(*_lists(spark, sf)))
 
 
-@query(_RANKED.format(more=" UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s, id)) FROM a"))
+@query(_RANKED.replace("@more", " UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s, id)) FROM a"))
 def rrf_three_way(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _lists(spark, sf)
     return _six(fusion.reciprocal_rank(a, b, a.withColumn("score", -F.col("score"))))
 
 
-@query()
+@query(f"WITH RECURSIVE {_FILES}, {_CHUNKS}, {_NAMED}, {_FORMATTED} SELECT sha256(formatted) AS hash, least(128, 2 + len({_TOKENS.replace('(text,', '(formatted,')}))::INT AS num_tokens, least(128, 2 + len({_TOKENS.replace('(text,', '(formatted,')}))::INT AS rows, NULL::VARCHAR AS error FROM form")
 def encode_hash_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return HashEncoder().encode_table(_chunks(spark, sf)).select("hash", "num_tokens", F.size("embedding").alias("rows"), "error")
 
 
-def _hybrid(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    index, chunks = _stemmed(spark, sf)
-    encoder = HashEncoder()
-    found = index.search(text, 100)  # only candidates are encoded here; an Engine has all chunks' vectors stored
-    store = VectorStore(spark, f"{_folder(spark)}/vectors")
-    store.insert(encoder.encode_table(chunks.join(F.broadcast(found.select("chunk_id")), "chunk_id", "left_semi")))
-    vectors = store.table()
-    return engine.hybrid(index, chunks, vectors, text, encoder.encode(text, "query"), 10)
+def _hybrid(spark: SparkSession, sf: str, text: str, stemmed: bool = False) -> DataFrame:
+    """Search with the vectors of all chunks stored, as an Engine has them."""
+    index, chunks = _stemmed(spark, sf, stemmed)
+    encoder = HashEncoder(32, stemmed)
+    store = VectorStore(spark, folder(spark, "vectors"), 32)
+    store.insert(encoder.encode_table(chunks))
+    return engine.hybrid(index, chunks, store.table(), text, encoder.encode(text, "query"), 10)
 
 
-@query()
+@query(f"{_OVER_CHUNKS}, {_fused_files('things', 'tion', 'under', 'the')} SELECT * FROM found")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf, "things running under the")
+    """Without stems, which SQL can't make."""
+    return _hybrid(spark, sf, "things tion under the")
 
 
 @query()
+def hybrid_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    return _hybrid(spark, sf, "things running under the", True)
+
+
+@query(f"{_OVER_CHUNKS}, {_best_files('things', 'tion', 'under', 'the')} SELECT path, round(s, 6) AS bm25_score, NULL::DOUBLE AS semantic_score, round(s, 6) AS fusion_score FROM lexical ORDER BY 4 DESC, 1 LIMIT 10")
 def hybrid_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    index, _ = _stemmed(spark, sf)
-    return engine.bm25_only(index, "things running under the", 10)
+    index, _ = _stemmed(spark, sf, False)
+    return engine.bm25_only(index, "things tion under the", 10)
 
 
-@query()
+@query(f"""{_OVER_CHUNKS}, {_fused_files('the', 'of')} SELECT '{{"path":"' || path || '","bm25_score":' || bm25_score || ',"colbert_score":' || semantic_score || ',"fusion_score":' || fusion_score || '}}' AS json FROM found""")
 def search_json(spark: SparkSession, sf: str) -> DataFrame:
     return engine.json_rows(_hybrid(spark, sf, "the of"))

@@ -18,17 +18,31 @@ from ..operators.vector_store import VectorStore
 from ..sources.directory import OWN, read_directory, scan_summary
 
 
+#: Candidates up to which they are looked up by an IN filter.
+LISTED = 2000
+
+
 def hybrid(index: Index, chunks: DataFrame, vectors: DataFrame, query: str, matrix: np.ndarray, limit: int = 10, weight: float = 0.3) -> DataFrame:
     """(path, bm25_score, semantic_score, fusion_score): BM25's best limit * 10 chunks, reranked by late interaction and fused.
 
-    chunks has (chunk_id, hash). The candidates are at most limit * 10 rows, so they are broadcast to chunks, and the rows found to vectors:
-    neither large table is shuffled. Without vectors for any candidate the semantic side is empty.
+    chunks has (chunk_id, hash). The candidates, at most limit * 10 rows, are found once and come to the driver; up to LISTED of them
+    are looked up by IN filters, which Parquet's statistics and Bloom filters answer, more by broadcast: neither large table is
+    shuffled. Without vectors for any candidate the semantic side is empty.
     """
-    found = index.search(query, 10 * limit)
+    spark = chunks.sparkSession
+    found = spark.createDataFrame(index.search(query, 10 * limit).collect(), "chunk_id string, score double")
     bm25 = fusion.chunks_to_files(found)
-    asked = chunks.select("chunk_id", "hash").join(F.broadcast(found.select("chunk_id")), "chunk_id")
-    rows = vectors.select("hash", "embedding").join(F.broadcast(asked), "hash").select("chunk_id", "embedding")
+
+    def looked_up(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+        if 10 * limit > LISTED:
+            return table.join(F.broadcast(keys.select(column).distinct()), column)
+        return table.where(F.col(column).isin([r[0] for r in keys.select(column).distinct().collect()]))
+
+    asked = looked_up(chunks.select("chunk_id", "hash"), "chunk_id", found)
+    asked = spark.createDataFrame(asked.collect(), "chunk_id string, hash string")
+    rows = looked_up(vectors.select("hash", "embedding"), "hash", asked).join(F.broadcast(asked), "hash").select("chunk_id", "embedding")
     semantic = fusion.chunks_to_files(maxsim.score(rows, matrix, "chunk_id"))
+    semantic = spark.createDataFrame(semantic.collect(), "doc_id string, score double")
     fused = fusion.weighted(bm25, semantic, weight)
     out = fused.withColumnRenamed("score", "fusion_score").join(bm25.withColumnRenamed("score", "bm25_score"), "doc_id", "left").join(semantic.withColumnRenamed("score", "semantic_score"), "doc_id", "left")
     rounded = lambda c: F.round(c, 6).alias(c)
@@ -46,7 +60,9 @@ def text_lines(results: DataFrame) -> DataFrame:
 
 
 def json_rows(results: DataFrame) -> DataFrame:
-    return results.select(F.to_json(F.struct("path", "bm25_score", "semantic_score", "fusion_score"), {"ignoreNullFields": "false"}).alias("json"))
+    """One JSON object a row; the third field has the name that readers of the format expect."""
+    named = F.struct("path", "bm25_score", F.col("semantic_score").alias("colbert_score"), "fusion_score")
+    return results.select(F.to_json(named, {"ignoreNullFields": "false"}).alias("json"))
 
 
 @dataclass
@@ -71,7 +87,7 @@ class Engine:
             files = read.where("status = 'kept'").select("path", "content")
             if not summary["kept"]:
                 return summary | {"chunks": 0, "cached": 0, "embedded": 0, "errors": 0}
-        chunk(files).write.mode("overwrite").parquet(f"{self.home}/chunks")
+        chunk(files).write.mode("overwrite").option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(f"{self.home}/chunks")
         chunks = self.spark.read.parquet(f"{self.home}/chunks")
         Index.build(chunks).write(f"{self.home}/bm25")
         summary |= {"chunks": chunks.count(), "cached": self.store.present(chunks).count(), "embedded": 0, "errors": 0}

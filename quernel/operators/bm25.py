@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stemmer import stem
+from ..sources.shared import spread
 from .query_parser import Group, Leaf, parse
 
 K1, B = 1.2, 0.75
@@ -61,7 +62,7 @@ def postings(chunks: DataFrame, id_col: str, text_col: str, stemmed: bool) -> Da
                     length += [dl] * len(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), part.column(0).take(pa.array(row, pa.int64())), pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(length, pa.int64())], ["term", "chunk_id", "tf", "positions", "dl"])
 
-    words = chunks.select(F.col(id_col).alias("chunk_id"), T.code_tokens(F.col(text_col)).alias("words"))
+    words = spread(chunks.select(id_col, text_col)).select(F.col(id_col).alias("chunk_id"), T.code_tokens(F.col(text_col)).alias("words"))
     return words.mapInArrow(run, "term string, chunk_id string, tf long, positions array<int>, dl long")
 
 

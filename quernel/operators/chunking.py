@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import spread
 
 _BLANK_END = re.compile(T.SPACE + r"+\Z")
 
@@ -45,14 +46,14 @@ def spans(text: str | None, size: int = 1500, overlap: int = 200) -> Iterator[tu
 
 
 def chunk(files: DataFrame, path_col: str = "path", text_col: str = "content", size: int = 1500, overlap: int = 200) -> DataFrame:
-    """(path, chunk_idx, chunk_id, content, start_byte, end_byte, start_line, formatted, hash) of files; no shuffle."""
+    """(path, chunk_idx, chunk_id, content, start_byte, end_byte, start_line, formatted, hash) of files; no shuffle, unless their partitions are fewer than the cores."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, i, *c) for p, t in zip(pdf["path"], pdf["content"], strict=True) for i, c in enumerate(spans(t, size, overlap))]
             yield pd.DataFrame(rows, columns=["path", "chunk_idx", "content", "start_byte", "end_byte", "start_line"])
 
-    rows = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("content")).mapInPandas(run, "path string, chunk_idx int, content string, start_byte long, end_byte long, start_line int")
+    rows = spread(files.select(F.col(path_col).alias("path"), F.col(text_col).alias("content"))).mapInPandas(run, "path string, chunk_idx int, content string, start_byte long, end_byte long, start_line int")
     name = T.chunk_id(F.col("path"), F.col("chunk_idx"))
     line = T.formatted(F.col("chunk_id"), F.col("content"))
     return rows.withColumn("chunk_id", name).withColumn("formatted", line).withColumn("hash", T.content_hash(F.col("formatted")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stemmer import stem
+from ..sources.shared import spread
 from .chunking import Batcher
 
 Kind = Literal["query", "document"]
@@ -70,7 +71,7 @@ class TokenEncoder(ABC):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), matrices, pa.array([e for _, e in found], pa.string())], ["key", "num_tokens", "embedding", "error"])
 
         rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-        return rows.mapInArrow(run, "key string, num_tokens int, embedding array<array<float>>, error string").withColumnRenamed("key", key)
+        return spread(rows).mapInArrow(run, "key string, num_tokens int, embedding array<array<float>>, error string").withColumnRenamed("key", key)
 
 
 class HashEncoder(TokenEncoder):

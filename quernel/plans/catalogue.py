@@ -255,7 +255,7 @@ def token_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
 def vocabulary_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain(spark, sf).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return Index.build(documents(spark, sf), "path", "content", stemmed=False).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {_POSTINGS} SELECT d AS chunk_id, dl FROM len")

@@ -19,8 +19,9 @@ from quernel.llm.queries import TARGETS, TOKENIZER, labelled_languages, table
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.7."""
-    scored = quality.with_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where("quality_score >= 0.7").select(docs.columns)
+    score = C.fresh(docs, "quality_score")
+    scored = quality.with_quality(docs, table(spark, sf_dir, "labels"), score_col=score)
+    return scored.where(F.col(score) >= 0.7).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

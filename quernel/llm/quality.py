@@ -133,15 +133,15 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.offset, -30, 30)))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample: int = 20_000) -> DataFrame:
-    """docs with a column quality_score (0 to 1).
+def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample: int = 20_000, score_col: str = "quality_score") -> DataFrame:
+    """docs with a column score_col (0 to 1).
 
     labels has (id_col, label_col); rows with a null in either, and those of the held-out fold (crc32 of the id's text
     modulo folds is held), are never learned from. Up to `sample` labelled ids, by hash, fit the model, each by one of its rows.
     A null or empty text gets the score of its statistics, those of no text. Without labels the score is 1/2. Rows
-    may repeat; an empty table gives an empty result; a column quality_score that docs has is replaced.
+    may repeat; an empty table gives an empty result; a column of that name that docs has is replaced.
     """
-    docs = docs.drop("quality_score")
+    docs = docs.drop(score_col)
     seen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").where(C.fold("doc_id", folds) != held)
     seen = seen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so its broadcast is bounded
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(seen), "doc_id").select("y", "text", "doc_id")
@@ -161,9 +161,9 @@ def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         for batch in batches:
             for i, j, raw, off in C.text_chunks(batch.column(at)):
                 s = np.full(j - i, model) if isinstance(model, float) else model.score(statistics(raw, off))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(s)], [*batch.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(s)], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held: int = 2, threshold: float = 0.7, **more: object) -> DataFrame:

@@ -70,9 +70,10 @@ def fold(doc_id: str | Column, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % k
 
 
-def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], many: str = "many", hot: int = HOT_ROWS) -> DataFrame:
-    """rows left-joined to their classes on keys, of which many says how many rows each holds. Classes of more than hot rows
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], many: str = "many", hot: int | None = None) -> DataFrame:
+    """rows left-joined to their classes on keys, of which many says how many rows each holds. Classes of more than hot rows (HOT_ROWS)
     are few, so their rows meet them in a broadcast (if their counted number allows) and don't land in one task; rows with a null key stay out of the shuffle."""
+    hot = HOT_ROWS if hot is None else hot
     known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
     large = classes.where(F.col(many) > hot).drop(many)
     n, rest, more = large.count(), classes.drop(many), [c for c in classes.columns if c not in (*keys, many)]

@@ -106,6 +106,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
+#: Items of the sets of leaders of large buckets up to which these sets are broadcast (8 bytes each).
+HOT_ITEMS = 4 << 20
 #: Words of 64 bits of a set's bit map.
 MAP_WORDS = 16
 
@@ -145,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = C.stored(classes.where("rep is not null"), "classes")
     posted = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = C.stored(posted.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("leader"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = C.stored(posted.join(buckets, "key"), "members")
+    members = C.with_class(posted, buckets.withColumn("many", F.col("members")), ["key"]).where("leader is not null")
+    members = C.stored(members, "members")
     ids = C.stored(members.select("rep").distinct(), "ids")
     n_ids = ids.count()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -161,12 +164,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return sizes & ((100 + percent) * apart <= (100 - percent) * both_sizes) & (100 * both >= percent * (both_sizes - both))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose full sets are similar enough."""
+        """The pairs (x: a leader, y) whose full sets are similar enough. A leader of more than C.HOT_ROWS members stands in as many
+        pairs; such leaders are few, and their sets are broadcast if their counted items allow."""
         pairs = C.stored(pairs, "pairs")
         one, two = (sets.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}"), F.col("map").alias(f"map_{k}")) for k in "yx")
-        return pairs.join(one, "y").join(two, "x").where(alike("x", "y")).select("x", "y").distinct()
-
-    stars = members.where("rep <> leader").select(F.least("leader", "rep").alias("x"), F.greatest("leader", "rep").alias("y")).distinct()
+        found = pairs.join(one, "y")
+        hot = C.stored(two.join(F.broadcast(buckets.where(F.col("members") > C.HOT_ROWS).select(F.col("leader").alias("x")).distinct().limit(C.BROADCAST_ROWS)), "x", "left_semi"), "hot")
+        if 0 < (hot.agg(F.sum(F.size("items_x"))).first()[0] or 0) <= HOT_ITEMS:
+            known = F.broadcast(hot.select("x").distinct())
+            found = found.join(F.broadcast(hot), "x").unionByName(found.join(known, "x", "left_anti").join(two, "x"))
+        else:
+            found = found.join(two, "x")
+        return found.where(alike("x", "y")).select("x", "y").distinct()
+
+    stars = members.where("rep <> leader").select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct()
     links = C.stored(verified(stars), "links")
     comps = C.stored(C.components(links), "comps")
     # pairs across components, in buckets that still hold several

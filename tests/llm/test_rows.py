@@ -76,3 +76,21 @@ def test_queries_that_repeat(spark):
         best = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-score[i], i))[:10]
         assert [(r.rank, r.vec_id) for r in got if r.query_id == q] == list(enumerate(best, 1))
     assert {r.query_id for r in got} == {0, 5}
+
+
+@pytest.mark.parametrize("items", [10, 1 << 22])
+def test_large_buckets_give_the_same(spark, monkeypatch, items):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choice(words, 80).tolist()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[int(rng.integers(0, 80))] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(rng.choice(words, 60))) for i in range(40)] + [(300 + i, rows[3][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(minhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(minhash, "HOT_ITEMS", items)
+    assert sorted(minhash.near_duplicates(docs).collect()) == want and len({r.component_id for r in want}) < 100

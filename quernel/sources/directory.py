@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 MAX_BYTES = 1_048_576
 #: Folders that are never entered.
@@ -48,9 +51,24 @@ def _rules(path: str) -> list[tuple[re.Pattern, bool, bool]]:
         return []
 
 
-def walk(root: str, strict: bool = False) -> Iterator[str]:
-    """Relative paths of regular files, hidden ones included. Errors are dropped, or raised if strict."""
-    base = [*_rules(os.path.expanduser("~/.config/git/ignore")), *_rules(os.path.join(root, GIT, "info", "exclude"))]
+def _global_ignore_file() -> str:
+    """core.excludesFile of the user's Git settings, or its default place."""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    for path in (os.path.expanduser("~/.gitconfig"), os.path.join(home, "git", "config")):
+        with contextlib.suppress(OSError), open(path, errors="replace") as f:
+            section = ""
+            for line in f:
+                if m := re.match(r"\s*\[\s*([^\]\s]+)", line):
+                    section = m[1].lower()
+                elif section == "core" and (m := re.match(r"\s*excludesfile\s*=\s*\"?([^\"\n]+?)\"?\s*$", line, re.IGNORECASE)):
+                    return os.path.expanduser(m[1])
+    return os.path.join(home, "git", "ignore")
+
+
+def walk(root: str, strict: bool = False, ignore: str | None = None) -> Iterator[str]:
+    """Relative paths of regular files, hidden ones included. Errors are dropped, or raised if strict. ignore: the ignore file for all
+    trees, by default that of the user's settings."""
+    base = [*_rules(_global_ignore_file() if ignore is None else ignore), *_rules(os.path.join(root, GIT, "info", "exclude"))]
 
     def below(folder: str, above: list[tuple[str, list]]) -> Iterator[str]:
         own = [*above, (folder, _rules(os.path.join(root, folder, ".gitignore")))]
@@ -83,35 +101,69 @@ def walk(root: str, strict: bool = False) -> Iterator[str]:
     yield from below("", [("", base)])
 
 
+def _read(root: str, path: str) -> tuple[str, int, str | None, str]:
+    """A file's row: path, length, content, status."""
+    full = os.path.join(root, path)
+    try:
+        size = os.path.getsize(full)
+        if size > MAX_BYTES:
+            return path, size, None, "large"
+        with open(full, "rb") as f:
+            return path, size, f.read().decode(), "kept"
+    except UnicodeDecodeError:
+        return path, size, None, "binary"
+    except OSError:
+        return path, 0, None, "unreadable"
+
+
+SCHEMA = "path string, length long, content string, status string"
+
+
+class Paths(InputPartition):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        if not options.get("path"):
+            raise ValueError("the directory source needs a path")
+        self.root, self.strict, self.per_task = options["path"], str(options.get("strict", "false")).lower() == "true", int(options.get("per_task", 256))
+        self.ignore = options.get("ignore")
+
+    def partitions(self) -> list[Paths]:
+        walked = walk(self.root, self.strict, self.ignore)
+        return [Paths(part) for part in iter(lambda: list(itertools.islice(walked, self.per_task)), [])] or [Paths([])]
+
+    def read(self, partition: Paths) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield _read(self.root, path)
+
+
+class DirectorySource(DataSource):
+    """A directory tree as a Spark source: spark.read.format("quernel_directory").option("strict", "true").load(root). Its partitions are
+    batches of per_task paths; root must be reachable from all executors."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quernel_directory"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema: StructType) -> _Reader:
+        return _Reader(self.options)
+
+
 def read_directory(spark: SparkSession, root: str, strict: bool = False, per_task: int = 256) -> DataFrame:
     """(path, length, content, status): status is kept, large, binary or unreadable; only kept files have a content.
 
-    The walk lists paths on the driver; files are read by tasks of per_task paths, so root must be reachable from all executors.
+    The driver walks the tree, files are read by tasks of per_task paths. If strict, a folder that can't be listed is an error.
     """
-    paths = list(walk(root, strict))
-    listed = spark.createDataFrame(pd.DataFrame({"path": pd.Series(paths, dtype=str)}), "path string").repartition(max(1, -(-len(paths) // per_task)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 32):
-                rows = []
-                for path in pdf["path"].iloc[i : i + 32]:
-                    full = os.path.join(root, path)
-                    try:
-                        size = os.path.getsize(full)
-                        if size > MAX_BYTES:
-                            rows.append((path, size, None, "large"))
-                            continue
-                        with open(full, "rb") as f:
-                            data = f.read()
-                        rows.append((path, size, data.decode(), "kept"))
-                    except UnicodeDecodeError:
-                        rows.append((path, size, None, "binary"))
-                    except OSError:
-                        rows.append((path, 0, None, "unreadable"))
-                yield pd.DataFrame(rows, columns=["path", "length", "content", "status"])
-
-    return listed.mapInPandas(run, "path string, length long, content string, status string")
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+    spark.dataSource.register(DirectorySource)
+    return spark.read.format(DirectorySource.name()).option("strict", str(strict).lower()).option("per_task", str(per_task)).option("ignore", _global_ignore_file()).load(root)
 
 
 def scan_summary(files: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from quernel.operators.encoder import HashEncoder
 from quernel.operators.query_parser import parse
 from quernel.operators.vector_store import VectorStore
 from quernel.plans.engine import Engine, json_rows
-from quernel.sources.directory import walk
+from quernel.sources.directory import read_directory, walk
 from pyspark.sql import functions as F
 
 
@@ -264,6 +264,26 @@ def test_directory_index_and_search(spark, tmp_path):
     assert only[0]["colbert_score"] is None and only[0]["bm25_score"] == only[0]["fusion_score"]
 
 
+def test_directory_source(spark, tmp_path, monkeypatch):
+    home, root = tmp_path / "home", tmp_path / "root"
+    (root / "deep").mkdir(parents=True)
+    home.mkdir()
+    for i in range(7):
+        (root / "deep" / f"f{i}.txt").write_text(f"text {i}")
+    (root / "x.tmp").write_text("left out")
+    (home / ".gitconfig").write_text("[user]\n  name = n\n[core]\n\texcludesFile = ~/own-ignore\n")
+    (home / "own-ignore").write_text("*.tmp\n")
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    files = read_directory(spark, str(root), strict=True, per_task=3)
+    assert sorted((r.path, r.content, r.status) for r in files.collect()) == [(f"deep/f{i}.txt", f"text {i}", "kept") for i in range(7)]
+    assert files.rdd.getNumPartitions() == 3
+    with pytest.raises(FileNotFoundError):
+        read_directory(spark, str(root / "none"))
+    (root / "empty").mkdir()
+    assert read_directory(spark, str(root / "empty")).count() == 0
+
+
 def test_chunk_table(spark):
     out = chunk(spark.createDataFrame([("p", "one\ntwo"), ("q", None)], "path string, content string")).collect()
     assert [(r.chunk_id, r.formatted, len(r.hash)) for r in out] == [("p#chunk0", "// p#chunk0\none\ntwo", 64)]

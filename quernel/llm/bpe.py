@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 NONE = 1 << 60
 #: Pieces whose tokens a worker remembers in each of two generations, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 150_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
 #: No rank; bytes (but one) of the longest pieces that are merged side by side, and places of a group of them.
 ABSENT, SIDE_BY_SIDE, GROUP = 1 << 31, 32, 1 << 17
 
@@ -36,8 +36,9 @@ class Ranks:
         if missing := [k for k in range(256) if bytes([k]) not in self.rank]:
             raise ValueError(f"a rank file without the single bytes {missing}")
         self.byte = np.array([self.rank[bytes([k])] for k in range(256)])
-        splits = [(self.rank[t[:k]] << 32 | self.rank[t[k:]], r) for t, r in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
-        self.pairs, self.joined = (np.array(x, np.int64) for x in zip(*sorted(splits), strict=True))
+        splits = ((self.rank[t[:k]] << 32 | self.rank[t[k:]], r) for t, r in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank)
+        table = np.sort(np.fromiter(splits, [("pair", np.int64), ("rank", np.int64)]), order="pair")
+        self.pairs, self.joined = table["pair"].copy(), table["rank"].copy()
         self.pieces: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}

@@ -69,22 +69,6 @@ class Shard:
         return self.ids[near][best], score[best]
 
 
-def search(self, first: np.ndarray, query: np.ndarray, own: int, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and products of the k best among those that the footrule ranks first."""
-        n = len(self.ids)
-        saved = np.zeros(n, np.int64)
-        for r, p in enumerate(first.tolist()):
-            s = slice(self.bound[p], self.bound[p + 1])
-            saved[self.rows[s]] += self.prefix - np.maximum(self.at[s], r)  # a vector stands once in a file
-        m = min(n, max(least, int(np.ceil(share * n))))
-        key = -saved * n + np.arange(n)  # ties to the smaller id
-        near = np.argpartition(key, m - 1)[:m] if m < n else np.arange(n)
-        near = near[self.ids[near] != own]
-        score = np.einsum("ij,j->i", self.x[near], query)
-        best = np.lexsort((self.ids[near], -score))[:k]
-        return self.ids[near][best], score[best]
-
-
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", column: str = "embedding", pivots: int = 256, prefix: int = 96, share: float = 0.15, least: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k found with the largest inner product, ties to the smaller id.
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import spread
 
-_BLANK_END = re.compile(T.SPACE + r"+\Z")
+#: The characters of T.SPACE.
+_BLANK = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Bytes of text whose chunks a worker gathers before it hands them on; one longer text is taken whole.
+PART_BYTES = 1 << 20
 
 
 def spans(text: str | None, size: int = 1500, overlap: int = 200) -> Iterator[tuple[str, int, int, int]]:
@@ -23,11 +26,11 @@ def spans(text: str | None, size: int = 1500, overlap: int = 200) -> Iterator[tu
     Lines are packed while the bytes with their line ends stay within size, at least one line each time; the next
     chunk goes back over whole lines within overlap, but on by one line at least. Line ends are \\n or \\r\\n and count as they stand.
     """
-    if not text or not _BLANK_END.sub("", text):
+    if not text or not (kept := text.rstrip(_BLANK)):
         return
     whole = len(text.encode())
     if whole <= size:
-        yield _BLANK_END.sub("", text), 0, whole, 0
+        yield kept, 0, whole, 0
         return
     lines = text.split("\n")
     if lines[-1] == "":
@@ -36,7 +39,7 @@ def spans(text: str | None, size: int = 1500, overlap: int = 200) -> Iterator[tu
     n, s = len(lines), 0
     while True:
         e = max(s + 1, bisect_right(at, at[s] + size) - 1)
-        content = _BLANK_END.sub("", "\n".join(lines[s:e]))
+        content = "\n".join(lines[s:e]).rstrip(_BLANK)
         if content:
             yield content, at[s], min(at[e], whole), s
         if e >= n:
@@ -45,15 +48,29 @@ def spans(text: str | None, size: int = 1500, overlap: int = 200) -> Iterator[tu
         s = back if back > s else s + 1
 
 
+_COLUMNS = {"path": pa.string(), "chunk_idx": pa.int32(), "content": pa.string(), "start_byte": pa.int64(), "end_byte": pa.int64(), "start_line": pa.int32()}
+
+
+def chunk_rows(batches: Iterator[pa.RecordBatch], size: int = 1500, overlap: int = 200) -> Iterator[pa.RecordBatch]:
+    """Chunks of (path, text) batches. Texts are taken one by one and their chunks handed on by PART_BYTES, so a worker holds its input batch and little more."""
+    for batch in batches:
+        rows, held = [], 0
+        for i, (path, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True), 1):
+            path, text = path.as_py(), text.as_py()
+            rows += [(path, k, *c) for k, c in enumerate(spans(text, size, overlap))]
+            held += len(text or "")
+            if rows and (held >= PART_BYTES or i == batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _COLUMNS.values(), strict=True)], list(_COLUMNS))
+                rows, held = [], 0
+
+
 def chunk(files: DataFrame, path_col: str = "path", text_col: str = "content", size: int = 1500, overlap: int = 200) -> DataFrame:
     """(path, chunk_idx, chunk_id, content, start_byte, end_byte, start_line, formatted, hash) of files; no shuffle, unless their partitions are fewer than the cores."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, i, *c) for p, t in zip(pdf["path"], pdf["content"], strict=True) for i, c in enumerate(spans(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["path", "chunk_idx", "content", "start_byte", "end_byte", "start_line"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return chunk_rows(batches, size, overlap)
 
-    rows = spread(files.select(F.col(path_col).alias("path"), F.col(text_col).alias("content"))).mapInPandas(run, "path string, chunk_idx int, content string, start_byte long, end_byte long, start_line int")
+    rows = spread(files.select(F.col(path_col).alias("path"), F.col(text_col).alias("content"))).mapInArrow(run, "path string, chunk_idx int, content string, start_byte long, end_byte long, start_line int")
     name = T.chunk_id(F.col("path"), F.col("chunk_idx"))
     line = T.formatted(F.col("chunk_id"), F.col("content"))
     return rows.withColumn("chunk_id", name).withColumn("formatted", line).withColumn("hash", T.content_hash(F.col("formatted")))

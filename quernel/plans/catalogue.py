@@ -314,17 +314,9 @@ def bm25_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS}, q AS (SELECT item_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark), r AS (SELECT item_id, d, round(sum(s), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2) SELECT item_id, d AS chunk_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, d)::INT AS rank FROM r QUALIFY rank <= 5")
 def bm25_topk_per_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark item as a query. Terms meet postings by a shuffled join; the top rows are cut in each task first."""
-    from pyspark.sql import Window
-
-    index = _plain(spark, sf)
+    """Every benchmark item as a query."""
     asked = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("term"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = index.terms.crossJoin(F.broadcast(index.corpus)).select("term", idf.alias("idf"), "avgdl")
-    rows = asked.join(terms, "term").join(index.postings, "term")
-    scores = rows.groupBy("item_id", "chunk_id").agg(F.round(F.sum(index.score(F.col("tf"), F.col("idf"))), 6).alias("score"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    return _plain(spark, sf).best(asked, 5)
 
 
 # vectors: ten rows of embeddings make a pseudo-document

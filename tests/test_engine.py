@@ -103,6 +103,32 @@ def test_phrases_join_lists_of_positions(spark):
     assert "explode(positions" not in found._jdf.queryExecution().toString()  # not a row an occurrence
 
 
+def test_many_queries_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(f"d{i:03d}", " ".join(rng.choice(words, int(rng.integers(1, 40))))) for i in range(300)]
+    docs += [(f"copy{i}", docs[0][1]) for i in range(9)]
+    index = Index.build(spark.createDataFrame(docs, "path string, content string"), "path", "content", stemmed=False)
+    asked = spark.createDataFrame([(int(q), w) for q in range(300) for w in rng.choice([*words, "none"], 4, replace=False)], "item_id long, term string")
+    rows = lambda df: sorted(map(tuple, df.select("item_id", "chunk_id", "score", "rank").collect()))
+    found = rows(index.best(asked))
+    monkeypatch.setattr("quernel.operators.bm25.ASKED", 5)
+    assert found == rows(index.best(asked)) and len(found) == 1500
+
+
+def test_a_store_packs_matrices(spark, tmp_path):
+    encoder = HashEncoder(32)
+    texts = spark.createDataFrame([(f"h{i % 90}", f"words of text {i % 90}") for i in range(100)], "hash string, formatted string")
+    store = VectorStore(spark, str(tmp_path / "v"), 32, encoder)
+    store.encode(texts.where("hash < 'h5'"))
+    store.encode(texts)
+    got = {r.hash: r for r in store.table().collect()}
+    assert len(got) == len(store) == 90 and spark.read.parquet(str(tmp_path / "v")).dtypes[-1] == ("packed", "binary")
+    for r in encoder.encode_table(texts.dropDuplicates(["hash"])).collect():
+        assert got[r.hash].embedding == r.embedding and got[r.hash].num_tokens == r.num_tokens  # nothing is lost
+    assert store.get("h7").shape == (6, 32)
+
+
 def test_words_in_python_are_those_in_sql(spark):
     texts = ["Ünïcode camelCase ABCdef x1y2 ", "ÀéÎ straßeLang 日本語テキスト", "", "a_b-c.d", "ǅungla ΣΑΣ İx"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.code_tokens(F.col("t")).alias("w")).collect()

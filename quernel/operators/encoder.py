@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stemmer import stem
 from ..sources.shared import spread
-from .chunking import Batcher
+from .chunking import BATCH_ROWS, Batcher
 
 Kind = Literal["query", "document"]
 #: Rows of a text at most, with the start and marker rows; ids of the two markers.
@@ -53,6 +53,36 @@ class TokenEncoder(ABC):
                     out.append((np.zeros((0, self.dim)), str(e)))
             return out
 
+    def pack(self, texts: list[str], kind: Kind) -> list[bytes]:
+        """Matrices as a store may hold them, in single precision; unpack gives them back."""
+        return [np.asarray(m, np.float32).tobytes() for m in self.encode_batch(texts, kind)]
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, np.float32).reshape(-1, self.dim)
+
+    def packed_table(self, rows: DataFrame, kind: Kind = "document", key: str = "hash", text: str = "formatted") -> DataFrame:
+        """(key, num_tokens, packed), as encode_table has them; texts that fail are left out."""
+        encoder = self
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, BATCH_ROWS):
+                    part = batch.slice(i, BATCH_ROWS)
+                    texts, found = [t or "" for t in part.column(1).to_pylist()], []
+                    try:
+                        found = encoder.pack(texts, kind)
+                    except Exception:  # noqa: BLE001
+                        for t in texts:
+                            try:
+                                found += encoder.pack([t], kind)
+                            except Exception:  # noqa: BLE001
+                                found.append(None)
+                    size = [None if p is None else len(encoder.unpack(p)) for p in found]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(found, pa.binary())], ["key", "num_tokens", "packed"])
+
+        rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+        return spread(rows).mapInArrow(run, "key string, num_tokens int, packed binary").where("packed is not null").withColumnRenamed("key", key)
+
     def encode_table(self, rows: DataFrame, kind: Kind = "document", key: str = "hash", text: str = "formatted") -> DataFrame:
         """(key, num_tokens, embedding, error): texts go to the encoder in greedy batches by estimated tokens; a text that fails alone gets an error, not a failed job."""
         encoder = self
@@ -75,30 +105,36 @@ class TokenEncoder(ABC):
 
 
 class HashEncoder(TokenEncoder):
-    """Each token's row (stemmed, if wanted) comes from SHA-256 of the token; start and marker rows from their names."""
+    """Each token's row (stemmed, if wanted) comes from SHA-256 of the token; start and marker rows from their names.
+
+    Tokens are remembered, and matrices packed, as the bytes that a row is made of: an eighth of the row in double precision."""
 
     def __init__(self, dim: int = 128, stemmed: bool = True) -> None:
-        self.dim, self.stemmed, self.rows = dim, stemmed, {}
+        self.dim, self.stemmed, self.known = dim, stemmed, {}
 
-    def row(self, name: str) -> np.ndarray:
-        if (v := self.rows.get(name)) is None:
-            if len(self.rows) >= 100_000:
-                self.rows.clear()
-            v = self.rows[name] = self._row(name)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def code(self, name: str) -> bytes:
+        if (v := self.known.get(name)) is None:
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            v = self.known[name] = b"".join(hashlib.sha256(f"{k}:{name}".encode()).digest() for k in range(-(-self.dim // 32)))[: self.dim]
         return v
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"rows": {}}
+    def pack(self, texts: list[str], kind: Kind) -> list[bytes]:
+        out = []
+        for text in texts:
+            words = T.code_words(text)[: MAX_ROWS - 2]
+            out.append(b"".join(map(self.code, ["[CLS]", f"[{MARKERS[kind]}]", *(map(stem, words) if self.stemmed else words)])))
+        return out
 
-    def _row(self, name: str) -> np.ndarray:
-        need = -(-self.dim // 32)
-        raw = b"".join(hashlib.sha256(f"{k}:{name}".encode()).digest() for k in range(need))[: self.dim]
-        v = np.frombuffer(raw, np.uint8).astype(np.float64) - 127.5
-        return v / np.linalg.norm(v)
+    def unpack(self, data: bytes) -> np.ndarray:
+        v = np.frombuffer(data, np.uint8).reshape(-1, self.dim) - 127.5
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def encode(self, text: str, kind: Kind) -> np.ndarray:
-        words = T.code_words(text)[: MAX_ROWS - 2]
-        return np.stack([self.row(w) for w in ["[CLS]", f"[{MARKERS[kind]}]", *(map(stem, words) if self.stemmed else words)]])
+        return self.unpack(self.pack([text], kind)[0])
 
 
 class OnnxEncoder(TokenEncoder):

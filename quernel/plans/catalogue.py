@@ -115,7 +115,7 @@ def _written(index: Index) -> Index:
 
 def _stemmed(spark: SparkSession, sf: str, stemmed: bool = True) -> tuple[Index, DataFrame]:
     """Chunks and their index, written and read as an Engine does."""
-    chunks = stored(_chunks(spark, sf), "chunks")
+    chunks = stored(_chunks(spark, sf).select("chunk_id", "formatted", "hash"), "chunks")
     return _written(Index.build(chunks, stemmed=stemmed)), chunks
 
 
@@ -428,9 +428,9 @@ def _hybrid(spark: SparkSession, sf: str, text: str, stemmed: bool = False) -> D
     """Search with the vectors of all chunks stored, as an Engine has them."""
     index, chunks = _stemmed(spark, sf, stemmed)
     encoder = HashEncoder(32, stemmed)
-    store = VectorStore(spark, folder(spark, "vectors"), 32)
-    store.insert(encoder.encode_table(chunks))
-    return engine.hybrid(index, chunks, store.table(), text, encoder.encode(text, "query"), 10)
+    store = VectorStore(spark, folder(spark, "vectors"), 32, encoder)
+    store.encode(chunks)
+    return engine.hybrid(index, chunks, store, text, encoder.encode(text, "query"), 10)
 
 
 @query(f"{_OVER_CHUNKS}, {_fused_files('things', 'tion', 'under', 'the')} SELECT * FROM found")

@@ -22,7 +22,7 @@ from ..sources.directory import OWN, read_directory, scan_summary
 LISTED = 2000
 
 
-def hybrid(index: Index, chunks: DataFrame, vectors: DataFrame, query: str, matrix: np.ndarray, limit: int = 10, weight: float = 0.3) -> DataFrame:
+def hybrid(index: Index, chunks: DataFrame, vectors: VectorStore, query: str, matrix: np.ndarray, limit: int = 10, weight: float = 0.3) -> DataFrame:
     """(path, bm25_score, semantic_score, fusion_score): BM25's best limit * 10 chunks, reranked by late interaction and fused.
 
     chunks has (chunk_id, hash). The candidates, at most limit * 10 rows, are found once and come to the driver; up to LISTED of them
@@ -40,7 +40,7 @@ def hybrid(index: Index, chunks: DataFrame, vectors: DataFrame, query: str, matr
 
     asked = looked_up(chunks.select("chunk_id", "hash"), "chunk_id", found)
     asked = spark.createDataFrame(asked.collect(), "chunk_id string, hash string")
-    rows = looked_up(vectors.select("hash", "embedding"), "hash", asked).join(F.broadcast(asked), "hash").select("chunk_id", "embedding")
+    rows = vectors.unpacked(looked_up(vectors.stored(), "hash", asked)).join(F.broadcast(asked), "hash").select("chunk_id", "embedding")
     semantic = fusion.chunks_to_files(maxsim.score(rows, matrix, "chunk_id"))
     semantic = spark.createDataFrame(semantic.collect(), "doc_id string, score double")
     fused = fusion.weighted(bm25, semantic, weight)
@@ -112,4 +112,4 @@ class Engine:
         if self.store.is_empty():
             warnings.warn("no vectors are stored; searching by BM25 only", stacklevel=2)
             return bm25_only(index, query, limit)
-        return hybrid(index, self.spark.read.parquet(f"{self.home}/chunks"), self.store.table(), query, self.encoder.encode(query, "query"), limit)
+        return hybrid(index, self.spark.read.parquet(f"{self.home}/chunks"), self.store, query, self.encoder.encode(query, "query"), limit)

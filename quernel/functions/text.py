@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,9 +43,16 @@ def code_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+#: Where a word is cut, and words, in any text and in ASCII.
+_CUT, _WORD = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})"), regex.compile(r"[\p{L}\p{N}]+")
+_ASCII_CUT, _ASCII_WORD = re.compile(r"([A-Z])(?<=[a-z].)"), re.compile("[a-z0-9]+")
+
+
 def code_words(text: str) -> list[str]:
     """What code_tokens gives, for one text in Python."""
-    return regex.findall(r"[\p{L}\p{N}]+", regex.sub(r"(\p{Ll})(\p{Lu})", r"\1 \2", text).lower())
+    if text.isascii():
+        return _ASCII_WORD.findall(_ASCII_CUT.sub(r" \1", text).lower())
+    return _WORD.findall(_CUT.sub(" ", text).lower())
 
 
 def l2_normalize(vector: Column) -> Column:

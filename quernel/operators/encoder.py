@@ -10,6 +10,7 @@ from typing import Literal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,55 +84,78 @@ class TokenEncoder(ABC):
         rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
         return spread(rows).mapInArrow(run, "key string, num_tokens int, packed binary").where("packed is not null").withColumnRenamed("key", key)
 
+    def encode_rows(self, batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+        """(key, num_tokens, embedding, error) of (key, text) batches, by greedy batches: only one's texts and matrices are held beside the input batch."""
+        for batch in batches:
+            dealer = Batcher()
+            dealt = [dealer.next((n or 0) // 4) for n in pc.binary_length(batch.column(1)).to_pylist()]
+            cuts = [i for i in range(len(dealt)) if i == 0 or dealt[i] != dealt[i - 1]]
+            for i, j in itertools.pairwise([*cuts, len(dealt)]):
+                found = self.each([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], kind)
+                size = np.array([len(m) for m, _ in found])
+                flat = np.concatenate([m for m, _ in found], dtype=np.float32, casting="same_kind").reshape(-1)
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(size.sum() + 1) * self.dim, pa.int32()), pa.array(flat))
+                matrices = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), matrices, pa.array([e for _, e in found], pa.string())], ["key", "num_tokens", "embedding", "error"])
+
     def encode_table(self, rows: DataFrame, kind: Kind = "document", key: str = "hash", text: str = "formatted") -> DataFrame:
         """(key, num_tokens, embedding, error): texts go to the encoder in greedy batches by estimated tokens; a text that fails alone gets an error, not a failed job."""
         encoder = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, dealer = batch.column(1).to_pylist(), Batcher()
-                dealt = [dealer.next(len((t or "").encode()) // 4) for t in texts]
-                cuts = [i for i in range(len(dealt)) if i == 0 or dealt[i] != dealt[i - 1]]
-                for i, j in itertools.pairwise([*cuts, len(dealt)]):
-                    found = encoder.each([t or "" for t in texts[i:j]], kind)
-                    size = np.array([len(m) for m, _ in found])
-                    flat = np.concatenate([m for m, _ in found]).astype(np.float32).reshape(-1)
-                    inner = pa.ListArray.from_arrays(pa.array(np.arange(size.sum() + 1) * encoder.dim, pa.int32()), pa.array(flat))
-                    matrices = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), inner)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), matrices, pa.array([e for _, e in found], pa.string())], ["key", "num_tokens", "embedding", "error"])
+            return encoder.encode_rows(batches, kind)
 
         rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
         return spread(rows).mapInArrow(run, "key string, num_tokens int, embedding array<array<float>>, error string").withColumnRenamed("key", key)
 
 
+#: Words that a worker's encoder remembers at most, about 25 MB, and their bytes; a longer word is made anew each time.
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 100
+
+
+class Known(dict):
+    """An encoder's bytes of the words met, emptied when REMEMBERED are held."""
+
+    def __init__(self, encoder: HashEncoder) -> None:
+        self.code, self.stem = encoder.code, stem.__wrapped__ if encoder.stemmed else str
+
+    def __missing__(self, word: str) -> bytes:
+        code = self.code(self.stem(word))
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = code
+        return code
+
+
 class HashEncoder(TokenEncoder):
     """Each token's row (stemmed, if wanted) comes from SHA-256 of the token; start and marker rows from their names.
 
-    Tokens are remembered, and matrices packed, as the bytes that a row is made of: an eighth of the row in double precision."""
+    Words are remembered, and matrices packed, as the bytes that a row is made of: an eighth of the row in double precision."""
 
     def __init__(self, dim: int = 128, stemmed: bool = True) -> None:
-        self.dim, self.stemmed, self.known = dim, stemmed, {}
+        self.dim, self.stemmed = dim, stemmed
+        self.known = Known(self)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.known = Known(self)
 
     def code(self, name: str) -> bytes:
-        if (v := self.known.get(name)) is None:
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            v = self.known[name] = b"".join(hashlib.sha256(f"{k}:{name}".encode()).digest() for k in range(-(-self.dim // 32)))[: self.dim]
-        return v
+        data = name.encode()
+        return b"".join([hashlib.sha256(b"%d:%b" % (k, data)).digest() for k in range(-(-self.dim // 32))])[: self.dim]
 
     def pack(self, texts: list[str], kind: Kind) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = T.code_words(text)[: MAX_ROWS - 2]
-            out.append(b"".join(map(self.code, ["[CLS]", f"[{MARKERS[kind]}]", *(map(stem, words) if self.stemmed else words)])))
-        return out
+        first, known = self.code("[CLS]") + self.code(f"[{MARKERS[kind]}]"), self.known
+        return [first + b"".join([known[w] for w in T.code_words(t)[: MAX_ROWS - 2]]) for t in texts]
 
     def unpack(self, data: bytes) -> np.ndarray:
         v = np.frombuffer(data, np.uint8).reshape(-1, self.dim) - 127.5
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
+        v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]  # the sums are exact
+        return v
 
     def encode(self, text: str, kind: Kind) -> np.ndarray:
         return self.unpack(self.pack([text], kind)[0])

@@ -229,6 +229,25 @@ def test_encoder():
     assert not np.array_equal(m, e.encode("hello world", "query")) and len(e.encode("word " * 1000, "document")) == 128
 
 
+def test_an_encoder_holds_little(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quernel.operators import encoder
+
+    texts = ["a" * 20_000 + f" {i}" for i in range(2000)]  # 40 MB
+    tracemalloc.start()
+    sizes = [n for b in HashEncoder().encode_rows(iter([pa.RecordBatch.from_arrays([pa.array(map(str, range(2000))), pa.array(texts)], ["key", "text"])]), "document") for n in b.column(1).to_pylist()]
+    assert sizes == [4] * 2000 and tracemalloc.get_traced_memory()[1] < 10e6
+    tracemalloc.stop()
+    monkeypatch.setattr(encoder, "REMEMBERED", 50)
+    e, fresh = HashEncoder(32), [f"word{i} " + "b" * (200 + i) for i in range(300)]
+    got = e.encode_batch(fresh, "document")
+    assert len(e.known) <= 50 and max(map(len, e.known)) < 10
+    assert all(np.array_equal(m, HashEncoder(32).encode(t, "document")) for m, t in zip(got, fresh, strict=True))
+
+
 def test_a_failed_batch_falls_back_to_single_texts(spark):
     class Picky(HashEncoder):
         def encode_batch(self, texts, kind):

@@ -6,7 +6,6 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,21 +92,26 @@ class Batcher:
         return self.batch
 
 
+def batch_rows(batches: Iterator[pa.RecordBatch], limit: int = BATCH_TOKENS, most: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches with a column batch for their tokens; rows come sorted by group, and a group goes on from one batch to the next."""
+    now, dealer = None, Batcher(limit, most)
+    for batch in batches:
+        out = []
+        for g, t in zip(batch["group"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+            if g != now:
+                now, dealer = g, Batcher(limit, most)
+            out.append(dealer.next(t))
+        yield batch.drop_columns("tokens").append_column("batch", pa.array(out, pa.int32()))
+
+
 def token_batches(chunks: DataFrame, group: Column, limit: int = BATCH_TOKENS, most: int = BATCH_ROWS) -> DataFrame:
     """(group, path, chunk_idx, batch) of chunks (path, chunk_idx, tokens): greedy batches within each group, in order of path and index.
 
     A group's rows come sorted to one task, which passes them through and holds the open batch's sums only, so a group may be of any size."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, dealer = None, Batcher(limit, most)
-        for pdf in batches:
-            out = []
-            for g, t in zip(pdf["group"], pdf["tokens"], strict=True):
-                if g != now:
-                    now, dealer = g, Batcher(limit, most)
-                out.append(dealer.next(int(t)))
-            yield pdf.drop(columns="tokens").assign(batch=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batch_rows(batches, limit, most)
 
     rows = chunks.select(group.cast("string").alias("group"), "path", "chunk_idx", F.col("tokens").cast("long").alias("tokens"))
     rows = rows.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "path", "chunk_idx")
-    return rows.mapInPandas(run, "group string, path string, chunk_idx int, batch int")
+    return rows.mapInArrow(run, "group string, path string, chunk_idx int, batch int")

@@ -8,7 +8,7 @@ from quernel.functions import text as T
 from quernel.functions.stemmer import stem
 from quernel.operators import fusion, maxsim, transformer
 from quernel.operators.bm25 import Index, postings, tokens
-from quernel.operators.chunking import chunk, chunk_rows, spans, token_batches
+from quernel.operators.chunking import batch_rows, chunk, chunk_rows, spans, token_batches
 from quernel.operators.encoder import HashEncoder
 from quernel.operators.query_parser import parse
 from quernel.operators.vector_store import VectorStore
@@ -168,6 +168,24 @@ def test_batches(spark):
         assert {k: v for k, v in got.items() if v[0] == g} == want and batch > 10
 
 
+def test_batches_go_on_over_arrow_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = [{"group": str(g), "path": "p", "chunk_idx": i, "tokens": int(rng.integers(10, 900))} for g in range(3) for i in range(400)]
+    whole = [b.to_pylist() for b in batch_rows(iter([pa.RecordBatch.from_pylist(rows)]))]
+    parts = [b.to_pylist() for b in batch_rows(pa.RecordBatch.from_pylist(rows[i : i + 7]) for i in range(0, len(rows), 7))]
+    assert whole[0] == sum(parts, []) and len(parts) == -(-len(rows) // 7) and [*whole[0][0]] == ["group", "path", "chunk_idx", "batch"]
+
+
+def test_workers_load_no_pandas():
+    import subprocess
+    import sys
+
+    code = "import sys, quernel.operators.encoder, quernel.operators.chunking; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
 def test_query_language(spark):
     docs = [("a", "red green"), ("b", "green red"), ("c", "red"), ("d", "blue")]
     index = Index.build(spark.createDataFrame(docs, "path string, content string"), "path", "content")
